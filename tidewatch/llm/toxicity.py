@@ -109,7 +109,7 @@ def log_odds(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int) ->
     found = []
     for f, a, c in counts:
         p = PRIOR * (a + c) / max(1, toxic + clean)
-        odds = math.log((a + p) / (toxic + PRIOR - a - p)) - math.log((c + p) / (clean + PRIOR - c - p))
+        odds = math.log((a + p) / (toxic + PRIOR + 1 - a - p)) - math.log((c + p) / (clean + PRIOR + 1 - c - p))
         z = odds / math.sqrt(1 / (a + p) + 1 / (c + p))
         if z >= SIGNIFICANT:
             found.append((z, f, odds))

@@ -6,13 +6,13 @@ import pytest
 from tidewatch.llm import links, ngram
 
 
-def shingle_set(text):
+def shingle_set(text, size):
     w = (text or "").encode().lower().split()
-    return {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
 
 
-def brute(rows):
-    sets = [shingle_set(t) for _, t in rows]
+def brute(rows, size=3, similar=90):
+    sets = [shingle_set(t, size) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(i):
@@ -23,7 +23,7 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             a, b = sets[i], sets[j]
-            if a and b and 100 * len(a & b) >= 90 * len(a | b):
+            if a and b and 100 * len(a & b) >= similar * len(a | b):
                 parent[find(i)] = find(j)
     least = defaultdict(list)
     for i, (d, _) in enumerate(rows):
@@ -87,3 +87,17 @@ def test_components_of_long_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(300, 200), (250, 300), (250, 250)]
     out = {r.node: r.root for r in links.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert all(out[i] == 0 for i in range(41)) and all(out[100 + i] == 100 for i in range(60)) and out[300] == out[250] == 200
+
+
+@pytest.mark.parametrize(("small", "block"), [(32, 1024), (3, 4)])
+def test_filter_keeps_one_of_each_group(spark, monkeypatch, small, block):
+    monkeypatch.setattr(ngram, "SMALL", small)
+    monkeypatch.setattr(ngram, "BLOCK", block)
+    rows = corpus(seed=3)
+    docs = spark.createDataFrame([(i, t, "p") for i, t in rows], "doc_id long, text string, print string")
+    kept = ngram.drop_near_copies(docs, size=3, similar=90)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, n, c in brute(rows) if d == c)
+    again = ngram.drop_near_copies(docs.unionAll(docs.where("text RLIKE '[^ \\t\\n]'")), size=3, similar=90)
+    assert sorted(r.doc_id for r in again.collect()) == sorted(d for d, n, c in brute(rows) if d == c)
+    assert ngram.drop_near_copies(docs.limit(0)).count() == 0

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.arrow import bounded_batches, map_rows
@@ -34,6 +34,8 @@ WORDS, SIMILAR = 3, 90
 BAND = 1.3
 #: Nodes that share a part before they are compared inside tasks; nodes of a block there.
 SMALL, BLOCK = 32, 1024
+#: Times that a part's nodes are compared with one of them before pairs are.
+STARS = 2
 #: Words whose hashes a task keeps.
 KEPT = 500_000
 
@@ -128,19 +130,20 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, size: int, similar: in
 
 
 def near_in_blocks(rows: DataFrame, similar: int) -> DataFrame:
-    """``rows`` (key, band, block_a, block_b, side, node, n, parts), a group per (key, band, block_a, block_b) -> pairs (a, b)
-    within the Hamming bound.  Groups are of bounded size and come one after another in sorted partitions."""
+    """``rows`` (key, band, block_a, block_b, side, node, n, parts, root), a group per (key, band, block_a, block_b) -> pairs (a, b)
+    of different roots within the Hamming bound.  Groups are of bounded size and come one after another in sorted partitions."""
     bounded_batches(rows)
 
     def pairs(group: list[tuple]) -> pa.RecordBatch:
         side = np.array([g[4] for g in group])
         node, n = np.array([g[5] for g in group]), np.array([g[6] for g in group])
         parts = np.array([g[7] for g in group], np.int64).view(np.uint64)
+        root = np.array([g[8] for g in group])
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         a, b = [], []
         for i in left:
             j = right[node[right] > node[i]] if (side[i] == 2) else right
-            j = j[np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * similar]
+            j = j[(root[j] != root[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * similar)]
             if len(j):
                 far = np.bitwise_count(parts[j] ^ parts[i]).sum(axis=1, dtype=np.int64)
                 j = j[far * (100 + similar) <= (n[j] + n[i]) * (100 - similar)]
@@ -160,37 +163,50 @@ def near_in_blocks(rows: DataFrame, similar: int) -> DataFrame:
         if group:
             yield pairs(group)
 
-    rows = rows.select("key", "band", "block_a", "block_b", "side", "node", "n", "parts")
+    rows = rows.select("key", "band", "block_a", "block_b", "side", "node", "n", "parts", "root")
     group_of = ["key", "band", "block_a", "block_b"]
     return rows.repartition(*group_of).sortWithinPartitions(*group_of).mapInArrow(run, "a long, b long")
 
 
-def far_apart(a: str, b: str) -> Column:
-    """Hamming distance of two sketches of equal length."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
+def flattened(nodes: DataFrame) -> DataFrame:
+    return nodes.select("node", "n", F.explode("sketches").alias("s")).select("node", "n", "s.band", "s.parts")
 
 
-def candidates(nodes: DataFrame, similar: int) -> DataFrame:
-    """``nodes`` (node, n, sketches) -> distinct pairs (a, b), a < b, that no bound tells apart."""
-    flat = nodes.select("node", "n", F.explode("sketches").alias("s")).select("node", "n", "s.band", "s.parts")
-    keyed = flat.select("node", "band", F.posexplode("parts").alias("pos", "part")).select("node", "band", F.xxhash64("band", "pos", "part").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = staged(keyed.join(shared, "key"), "shared")
+def shared_parts(nodes: DataFrame) -> DataFrame:
+    """``node, band, key, members``: the parts of sketches that several nodes have."""
+    keyed = flattened(nodes).select("node", "band", F.posexplode("parts").alias("pos", "part")).select("node", "band", F.xxhash64("band", "pos", "part").alias("key"))
+    several = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    return staged(keyed.join(several, "key"), "shared")
+
+
+def within_bounds(pairs: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
+    """Of ``pairs`` (a, b, band, ...) those whose sizes and Hamming distance allow a link."""
+    flat = flattened(nodes)
+    side = lambda x: flat.select(F.col("node").alias(x), "band", F.col("n").alias(f"n_{x}"), F.col("parts").alias(f"parts_{x}"))
+    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similar
+    far = F.aggregate(
+        F.zip_with("parts_a", "parts_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("long"), lambda s, x: s + x.cast("long")
+    )
+    met = pairs.join(side("a"), ["a", "band"]).join(side("b"), ["b", "band"])
+    return met.where(fits & (far * (100 + similar) <= (F.col("n_a") + F.col("n_b")) * (100 - similar))).select("a", "b").distinct()
+
+
+def candidates(shared: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
+    """``shared`` (node, band, key, members, root) -> distinct pairs (a, b), a < b, of different roots that no bound
+    tells apart."""
     some = shared.where(F.col("members") <= SMALL)
-    one = some.select("key", "band", F.col("node").alias("a"))
-    two = some.select("key", F.col("node").alias("b"))
-    met = one.join(two, "key").where("a < b").groupBy("a", "b", "band").agg(F.count("*").alias("equal"))
+    one = some.select("key", "band", F.col("node").alias("a"), F.col("root").alias("root_a"))
+    two = some.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    met = one.join(two, "key").where("a < b AND root_a != root_b").groupBy("a", "b", "band").agg(F.count("*").alias("equal"))
     # parts that many nodes share are compared in blocks; a pair may lack those parts here, so they count as equal
     many = shared.where(F.col("members") > SMALL)
-    crowded = many.groupBy("node", "band").agg(F.count("*").alias("crowded"))
-    side = lambda x: flat.select(F.col("node").alias(x), "band", F.col("n").alias(f"n_{x}"), F.col("parts").alias(f"parts_{x}"))
-    size = lambda x: flat.select(F.col("node").alias(x), "band", F.col("n").alias(f"n_{x}"), F.size("parts").alias("p"))
-    limit = F.floor((F.col("n_a") + F.col("n_b")) * (100 - similar) / (100 + similar))
-    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similar
-    met = met.join(size("a"), ["a", "band"]).join(size("b").drop("p"), ["b", "band"]).where(fits)
-    met = met.join(crowded.withColumnRenamed("node", "a"), ["a", "band"], "left").where(F.col("equal") + F.coalesce("crowded", F.lit(0)) >= F.col("p") - limit)
-    met = met.select("a", "b", "band").join(side("a"), ["a", "band"]).join(side("b"), ["b", "band"])
-    near = met.where(far_apart("parts_a", "parts_b") <= limit).select("a", "b")
+    crowded = many.groupBy("node", "band").agg(F.count("*").alias("crowded")).withColumnRenamed("node", "a")
+    flat = flattened(nodes)
+    size = lambda x: flat.select(F.col("node").alias(x), "band", F.col("n").alias(f"n_{x}"), F.size("parts").alias(f"p_{x}"))
+    met = met.join(size("a"), ["a", "band"]).join(size("b"), ["b", "band"]).join(crowded, ["a", "band"], "left")
+    differing = F.col("p_a") - F.col("equal") - F.coalesce("crowded", F.lit(0))
+    met = met.where(differing * (100 + similar) <= (F.col("n_a") + F.col("n_b")) * (100 - similar)).select("a", "b", "band")
+    near = within_bounds(met, nodes, similar)
     if many.take(1):
         blocks = F.ceil(F.col("members") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -198,18 +214,17 @@ def candidates(nodes: DataFrame, similar: int) -> DataFrame:
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         first = F.col("own") <= F.col("other")
         dealt = dealt.select(
-            "key", "band", "node", "n", "parts", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"),
+            "key", "band", "node", "n", "parts", "root", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"),
             F.when(F.col("own") == F.col("other"), 2).when(first, 0).otherwise(1).alias("side"),
         )
         near = near.unionAll(near_in_blocks(dealt, similar))
     return near.distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, similar: int) -> DataFrame:
-    """The pairs whose texts' n-gram sets are similar enough, counted exactly on the n-grams themselves."""
-    both = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = staged(both.join(nodes.select("node", "doc_id", "print"), "node"), "wanted")
-    ids = staged(wanted.select(F.col("doc_id").alias("i")).distinct(), "ids")
+def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """``node, text`` of the nodes in ``wanted``, staged.  The corpus is read once more; only wanted texts are kept."""
+    wanted = staged(wanted.distinct().join(nodes.select("node", F.col("doc_id").alias("i"), F.col("print").alias("p")), "node"), "wanted")
+    ids = staged(wanted.select("i").distinct(), "ids")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.join(ids, rows["doc_id"].eqNullSafe(ids["i"]), "left_semi")
 
@@ -222,10 +237,13 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
         return run
 
     # an id may stand for rows of different texts: the fingerprint says which is meant
-    texts = rows.withColumn("copy", F.col("text"))
-    texts = map_rows(texts, make, "print binary", ["text"], ["doc_id", "copy"])
-    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["print"] == wanted["print"])).select("node", F.col("copy").alias("text"))
-    texts = staged(texts.dropDuplicates(["node"]), "wanted")
+    texts = map_rows(rows.withColumn("copy", F.col("text")), make, "print binary", ["text"], ["doc_id", "copy"])
+    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["i"]) & (texts["print"] == wanted["p"]))
+    return staged(texts.select("node", F.col("copy").alias("text")).dropDuplicates(["node"]), "wanted")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, size: int, similar: int) -> DataFrame:
+    """The pairs whose texts' n-gram sets are similar enough, counted exactly on the n-grams themselves."""
     joined = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
 
     def similar_sets(first: list, second: list) -> dict:
@@ -240,6 +258,58 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
     return linked.where("linked").select("a", "b")
 
 
+def both_ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
+
+
+def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int, similar: int) -> tuple[DataFrame, DataFrame]:
+    """Staged rows (doc_id, n, print) and nodes (node, print, doc_id, n, sketches), one per distinct non-empty set."""
+    first = staged(sketched(docs, id_col, text_col, size, similar), "sketched")
+    rows = staged(first.select("doc_id", "n", "print"), "sets")
+    nodes = first.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
+    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    drop(first)
+    return rows, nodes
+
+
+def every_link(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, similar: int) -> DataFrame:
+    """All links (a, b) between nodes."""
+    shared = shared_parts(nodes).withColumn("root", F.col("node"))
+    pairs = staged(candidates(shared, nodes, similar), "pairs")
+    texts = texts_of(both_ends(pairs), nodes, docs, id_col, text_col, size)
+    return staged(verified(pairs, texts, size, similar), "linked")
+
+
+def spanning_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, similar: int) -> DataFrame:
+    """Links enough to connect whatever links connect.
+
+    First each shared part's nodes are compared with one of them, a few times with another one; then, in the parts whose
+    nodes still fall into several components, all pairs across components are.  A large group of near copies is mostly
+    connected by then, and its pairs are never listed.
+    """
+    shared = shared_parts(nodes)
+    texts = texts_of(shared.select("node"), nodes, docs, id_col, text_col, size)
+    links = None
+
+    def mixed() -> DataFrame:
+        if links is None:
+            return shared.withColumn("root", F.col("node"))
+        rooted = shared.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        parts = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+        return rooted.join(parts.select("key"), "key", "left_semi")
+
+    for turn in range(STARS):
+        now = staged(mixed(), "mixed")
+        middle = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "root")).alias("m"))
+        star = now.join(middle, "key").where(F.col("root") != F.col("m.root"))
+        star = star.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b"), "band").distinct()
+        found = staged(verified(within_bounds(star, nodes, similar), texts, size, similar), "linked")
+        links = found if links is None else links.unionAll(found)
+        drop(now)
+    pairs = staged(candidates(staged(mixed(), "mixed"), nodes, similar), "pairs")
+    return links.unionAll(staged(verified(pairs, texts, size, similar), "linked"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, n_links``.
 
@@ -250,21 +320,57 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     different sets, leaving out its equals.  Repeated rows have equal sets; a null id is never the smallest.  Sets are
     told apart by 128-bit fingerprints and counted by 64-bit shingle hashes; links are decided on the shingles.
     """
-    first = staged(sketched(docs, id_col, text_col, size, similar), "sketched")
-    rows = staged(first.select("doc_id", "n", "print"), "sets")
-    nodes = first.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
-    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    drop(first)
-    pairs = staged(candidates(nodes, similar), "pairs")
-    links = staged(verified(pairs, nodes, docs, id_col, text_col, size, similar), "linked")
+    rows, nodes = sets_of(docs, id_col, text_col, size, similar)
+    links = every_link(nodes, docs, id_col, text_col, size, similar)
     roots = components(links)
     least = nodes.select("node", "doc_id")
     named = staged(roots.join(least, "node"), "roots")
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    degree = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = both_ends(links).groupBy("node").agg(F.count("*").alias("n_links"))
     named = named.select("node", "root").join(smallest, "root").join(degree, "node").select("node", "component_id", "n_links")
     sets = nodes.select("print", "node", F.col("doc_id").alias("least")).join(named, "node", "left")
     sets = sets.select(F.col("print").alias("p"), F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = rows.join(sets, (rows["print"] == sets["p"]) & (F.col("n") > 0), "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similar: int = 80) -> DataFrame:
+    """The rows of ``docs`` but for near copies: of each group that links connect, the row with the smallest id stays.
+
+    Columns are as they were.  Rows with an empty set stay; where rows repeat under the smallest id, one stays.
+    """
+    rows, nodes = sets_of(docs, id_col, text_col, size, similar)
+    roots = components(spanning_links(nodes, docs, id_col, text_col, size, similar))
+    named = staged(roots.join(nodes.select("node", "doc_id", "print"), "node"), "roots")
+    least = named.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("least"))
+    goes = named.join(least, "root").where("node != least.node").select("print")
+    stay = rows.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id")).join(goes, "print", "left_anti")
+    gone = rows.where("n > 0").join(stay, rows["print"].eqNullSafe(stay["print"]) & rows["doc_id"].eqNullSafe(stay["doc_id"]), "left_anti")
+    twice = rows.where("n > 0").groupBy("doc_id", "print").count().where("count > 1").select("doc_id", "print")
+    again = twice.take(1) or rows.groupBy("doc_id").agg(F.countDistinct("print").alias("k")).where("k > 1").take(1)
+    if not again:
+        gone = staged(gone.select(F.col("doc_id").alias("__i")), "gone")
+        return docs.join(gone, docs[id_col].eqNullSafe(gone["__i"]), "left_anti").select(*docs.columns)
+    return drop_by_print(docs, stay, id_col, text_col, size)
+
+
+def drop_by_print(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """As above for tables in which an id is not a row's own: rows are told apart by id and fingerprint."""
+
+    def make():  # noqa: ANN202
+        held = Hashes()
+
+        def run(values: list) -> dict:
+            sets = [shingles(words_of(t), held, size) for t in values]
+            return {"print": [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets], "empty": [not len(h) for h in sets]}
+
+        return run
+
+    cols = [F.col(c).alias(f"_{c}") for c in docs.columns]
+    rows = map_rows(docs.select(*cols, F.col(text_col).alias("text")), make, "print binary, empty boolean", ["text"], [f"_{c}" for c in docs.columns])
+    stay = stay.withColumnsRenamed({"doc_id": "i", "print": "p"})
+    kept = rows.where(~F.col("empty")).join(stay, rows[f"_{id_col}"].eqNullSafe(stay["i"]) & (rows["print"] == stay["p"]), "left_semi")
+    turn = F.row_number().over(Window.partitionBy(f"_{id_col}", "print").orderBy(F.lit(0)))
+    kept = kept.withColumn("turn", turn).where("turn = 1").drop("turn").unionAll(rows.where("empty"))
+    return kept.select([F.col(f"_{c}").alias(c) for c in docs.columns])

@@ -11,10 +11,10 @@ key of the block; where two different blocks share a key, which is counted, thos
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.store import drop, staged
+from tidewatch.llm.store import staged
 
 #: Code points in a block of the first level.
 BLOCK = 4096
@@ -28,14 +28,12 @@ def normalised(text: Column) -> Column:
 
 def blocks_of(text: Column, size: int) -> Column:
     """Array of the text's blocks; an empty text has one empty block."""
-    return F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(text) - 1) / size)).cast("int")),
-        lambda i: F.substring(text, i * size + 1, F.lit(size)),
-    )
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
 
 
 def name_values(rows: DataFrame, cols: list[str], key: Column | None = None) -> DataFrame:
-    """Replace the columns ``cols`` of ``rows`` (rid, pos, *cols) by one integer ``name``: equal values, equal names.
+    """Replace the columns ``cols`` of ``rows`` (id, sha, n, pos, *cols) by one integer ``name``: equal values, equal names.
 
     Distinct values are found with map-side aggregation, so a value that a third of all rows hold does not gather in one
     task; rows come to their names by an equi-join that adaptive execution may split.
@@ -45,68 +43,77 @@ def name_values(rows: DataFrame, cols: list[str], key: Column | None = None) ->
     names = staged(values.select("key", (F.monotonically_increasing_id() + 1).alias("name")), "names")
     clash = names.groupBy("key").count().where("count > 1").select("key")
     if not clash.take(1):
-        return keyed.join(names, "key").select("rid", "pos", "name")
+        return keyed.join(names, "key").select("id", "sha", "n", "pos", "name")
     clash = staged(clash, "clashes")
     values = keyed.join(clash, "key", "left_semi").select("key", *cols).distinct().sortWithinPartitions(*cols)
     exact = staged(values.select(F.col("key").alias("key_of"), *[F.col(c).alias(f"{c}_of") for c in cols], (-F.monotonically_increasing_id() - 1).alias("name")), "names")
     same = [F.col("key") == F.col("key_of")] + [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in cols]
-    alone = keyed.join(names.join(clash, "key", "left_anti"), "key").select("rid", "pos", "name")
-    return alone.unionAll(keyed.join(exact, same).select("rid", "pos", "name"))
+    alone = keyed.join(names.join(clash, "key", "left_anti"), "key").select("id", "sha", "n", "pos", "name")
+    return alone.unionAll(keyed.join(exact, same).select("id", "sha", "n", "pos", "name"))
 
 
 def identities(docs: DataFrame, block: int = BLOCK, key: Column | None = None) -> DataFrame:
-    """``docs`` (rid, text) -> (rid, level, name); two rows agree in (level, name) exactly when their texts are equal."""
-    rows = docs.select("rid", F.posexplode(blocks_of(F.col("text"), block)).alias("pos", "block"))
-    named = staged(name_values(rows, ["block"], key), "level")
-    level, done = 0, None
+    """``docs`` (id, sha, text) -> (id, sha, level, name); rows agree in (level, name) exactly when their normalised texts
+    are equal.
+
+    ``sha`` only tells rows apart that share an id; rows that agree in both come out once.
+    """
+    rows = docs.select("id", "sha", blocks_of(F.col("text"), block).alias("blocks"))
+    rows = rows.select("id", "sha", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "block"))
+    rows = rows.withColumn("block", normalised(F.col("block")))  # letter by letter, so it may follow the cutting
+    named, level, done = staged(name_values(rows, ["block"], key), "level"), 0, None
     while True:
-        longest = named.agg(F.max("pos")).first()[0]
-        if longest is None or longest == 0:
-            rest = named.select("rid", F.lit(level).alias("level"), "name")
-            return rest if done is None else done.unionAll(rest)
-        # rows that are down to one name are finished; `more` marks the first name of a longer one
-        first = named.groupBy("rid").agg(F.max("pos").alias("last"), F.max(F.when(F.col("pos") == 0, F.col("name"))).alias("name"))
-        ended = first.where("last = 0").select("rid", F.lit(level).alias("level"), "name")
+        ended = named.where("n = 1").select("id", "sha", F.lit(level).alias("level"), "name").distinct()
         done = ended if done is None else done.unionAll(ended)
-        half = F.floor(F.col("pos") / 2).cast("int")
-        odd = F.col("pos") % 2
+        rest = named.where("n > 1")
+        if not rest.take(1):
+            return done
+        odd = F.col("pos") % 2 == 1
         pairs = (
-            named.groupBy("rid", half.alias("pos"))
-            .agg(F.max(F.when(odd == 0, F.col("name"))).alias("a"), F.max(F.when(odd == 1, F.col("name"))).alias("b"))
+            rest.groupBy("id", "sha", F.ceil(F.col("n") / 2).cast("int").alias("n"), F.floor(F.col("pos") / 2).cast("int").alias("pos"))
+            .agg(F.max(F.when(~odd, F.col("name"))).alias("a"), F.max(F.when(odd, F.col("name"))).alias("b"))
             .withColumn("b", F.coalesce("b", F.lit(0).cast("long")))
-        )
-        longer = first.where("last > 0").select("rid")
-        named = staged(name_values(pairs.join(longer, "rid", "left_semi"), ["a", "b"]), "level")
-        level += 1
+        )
+        named, level = staged(name_values(pairs, ["a", "b"]), "level"), level + 1
+
+
+def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("sha"), text.alias("text"))
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
+    """One row per distinct (id, sha): how often it comes (times), its group's size and which (id, sha) stays (best)."""
+    rows = marked(docs, id_col, text_col)
+    names = staged(identities(rows, block), "identities").withColumnsRenamed({"id": "i", "sha": "s"})
+    rows = rows.withColumn("text_sha", F.unhex(F.sha2(normalised(F.col("text")), 256)))
+    times = rows.groupBy("id", "sha").agg(F.count("*").alias("times"), F.first("text_sha").alias("text_sha"))
+    named = staged(times.join(names, times["id"].eqNullSafe(names["i"]) & (times["sha"] == names["s"])).drop("i", "s"), "named")
+    groups = named.groupBy("level", "name").agg(F.max(F.struct("id", "sha")).alias("best"), F.sum("times").alias("group_size"))
+    return named.join(groups, ["level", "name"])
+
+
+STAYS = "id <=> best.id AND sha = best.sha"
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Every row of ``docs`` with the row that stays for it.
 
     Returns one row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.  Texts are compared after
-    lower-casing A-Z; a null text counts as empty.  The largest id of a group stays; rows repeated under that id are
-    the same row told twice, and the first in file order is the one marked kept.  A null id sorts below all others.
-    Other columns are ignored; an empty table gives an empty result.
+    lower-casing A-Z; a null text counts as empty.  The largest id of a group stays; where a row comes repeatedly under
+    that id, one of the repeats is marked kept.  A null id sorts below all others.  Other columns are ignored; an empty
+    table gives an empty result.
     """
-    text = normalised(F.col(text_col))
-    held = staged(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), text.alias("text")), "texts")
-    names = staged(identities(held.select("rid", "text"), block), "identities")
-    named = held.select("rid", "doc_id", F.sha2("text", 256).alias("text_sha256")).join(names, "rid")
-    named = staged(named, "named")
-    drop(held)
-    best = F.max(F.struct("doc_id", (-F.col("rid")).alias("turn")))
-    groups = named.groupBy("level", "name").agg(best.alias("best"), F.count("*").alias("group_size"))
-    return named.join(groups, ["level", "name"]).select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("best.turn") == -F.col("rid")).alias("kept"), "text_sha256"
-    )
+    rows = grouped(docs, id_col, text_col, block).withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    kept = F.expr(STAYS) & (F.col("turn") == 1)
+    return rows.select(F.col("id").alias("doc_id"), F.col("best.id").alias("keep_id"), "group_size", kept.alias("kept"), F.lower(F.hex("text_sha")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that stay (largest id of each group of equal texts), all columns as they were."""
-    cols = docs.columns
-    text = normalised(F.col(text_col))
-    held = staged(docs.select("*", F.monotonically_increasing_id().alias("__rid")), "texts")
-    names = identities(held.select(F.col("__rid").alias("rid"), text.alias("text")), block)
-    named = names.join(held.select(F.col("__rid").alias("rid"), F.col(id_col).alias("id")), "rid")
-    stay = named.groupBy("level", "name").agg(F.max(F.struct("id", (-F.col("rid")).alias("turn"))).alias("best"))
-    return held.join(stay.select((-F.col("best.turn")).alias("__rid")), "__rid", "left_semi").select(*cols)
+    stay = grouped(docs, id_col, text_col, block).where(STAYS)
+    stay = staged(stay.select(F.col("id").alias("__i"), F.col("sha").alias("__s")), "stay")
+    rows = docs.withColumn("__sha", F.unhex(F.sha2(F.coalesce(text_col, F.lit("")), 256)))
+    rows = rows.join(stay, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__sha") == F.col("__s")), "left_semi")
+    turn = F.row_number().over(Window.partitionBy(id_col, "__sha").orderBy(F.lit(0)))
+    return rows.withColumn("__turn", turn).where("__turn = 1").select(*docs.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, exact, mixing, ngram, toxicity
+from tidewatch.llm import bpe, exact, html, mixing, ngram, toxicity, unigram, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,18 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op5_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.near_groups(table(spark, sf_dir, "documents"))
 
@@ -38,7 +50,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op2_toxic_segments, op3_byte_bpe, op9_ngram_join, op10_exact_dedup)
+    f.__name__: f for f in (op1_source_mixing, op2_toxic_segments, op3_byte_bpe, op4_html_extraction, op5_warc_archives, op6_token_counts, op9_ngram_join, op10_exact_dedup)
 }
 
 LINE = r"""
@@ -70,6 +82,14 @@ SELECT doc_id, size, source_size, target,
        CASE WHEN size = 0 THEN 0 ELSE (words // source_size) * size
          + greatest(0, least(start + size, words % source_size) - start) END::BIGINT AS taken
 FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source
+""",
+    "op5_warc_archives": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+g AS (SELECT h, max(page_id) AS keep, count(*) AS n FROM p WHERE payload_bytes >= 1000 GROUP BY h)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest,
+       CASE WHEN n > 1 AND keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n > 1 AND keep <> page_id THEN keep END AS refers_to
+FROM p LEFT JOIN g ON p.h = g.h
 """,
     "op10_exact_dedup": """
 WITH d AS (

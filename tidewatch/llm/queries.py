@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, exact, html, mixing, ngram, toxicity, unigram, warc
+from tidewatch.llm import bpe, exact, html, mixing, nearest, ngram, toxicity, unigram, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.searched(table(spark, sf_dir, "embeddings"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.near_groups(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op2_toxic_segments, op3_byte_bpe, op4_html_extraction, op5_warc_archives, op6_token_counts, op9_ngram_join, op10_exact_dedup)
+    f.__name__: f for f in (op1_source_mixing, op2_toxic_segments, op3_byte_bpe, op4_html_extraction, op5_warc_archives, op6_token_counts, op7_nearest_neighbours, op9_ngram_join, op10_exact_dedup)
 }
 
 LINE = r"""

@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 from tidewatch.llm.arrow import map_rows
 
 #: Pre-tokens whose ids a task keeps; the table starts afresh when it is full.
-KEPT = 400_000
+KEPT = 1_000_000
 #: Vocabulary entries that share a displacement, on average.
-PER_BUCKET = 4
+PER_BUCKET = 2
 
 
 class PerfectHash:
@@ -38,7 +39,10 @@ class PerfectHash:
             h = xxhash.xxh64_intdigest(w)
             groups.setdefault(h % self.buckets, []).append((h, w))
         taken = bytearray(n)
-        for bucket, group in sorted(groups.items(), key=lambda x: (-len(x[1]), x[0])):
+        order = sorted(groups.items(), key=lambda x: (-len(x[1]), x[0]))
+        for bucket, group in order:
+            if len(group) == 1:
+                break
             d = 0
             while True:
                 slots = [self._slot(h, d) for h, _ in group]
@@ -49,6 +53,11 @@ class PerfectHash:
             for s, (_, w) in zip(slots, group, strict=True):
                 taken[s] = 1
                 self.words[s] = w
+        free = (s for s in range(n) if not taken[s])  # a bucket of one word names its slot outright
+        for bucket, group in order:
+            if len(group) == 1:
+                s = next(free)
+                self.shift[bucket], self.words[s] = -1 - s, group[0][1]
         self._shift = self.shift.tolist()
 
     def _slot(self, h: int, d: int) -> int:
@@ -61,10 +70,24 @@ class PerfectHash:
         if not self.n:
             return -1
         h = xxhash.xxh64_intdigest(word)
-        s = self._slot(h, self._shift[h % self.buckets])
+        d = self._shift[h % self.buckets]
+        s = self._slot(h, d) if d >= 0 else -1 - d
         return s if self.words[s] == word else -1
 
 
+class Kept(dict):
+    """Pre-tokens and their ids, as decimals joined by commas; fills itself, and starts afresh when full."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+
+    def __missing__(self, pre_token: str) -> str:
+        if len(self) >= KEPT:
+            self.clear()
+        self[pre_token] = found = ",".join(map(str, self.codec.ids(pre_token.encode("utf-8", "surrogatepass"))))
+        return found
+
+
 class Codec:
     """Encoder and decoder for a vocabulary of byte strings with ranks."""
 
@@ -74,9 +97,11 @@ class Codec:
         self.hash = PerfectHash(words)
         self.id_of_slot = [ranks[w] for w in self.hash.words]
         self.bytes_of = {i: w for w, i in ranks.items()}
-        self.kept: dict[str, tuple[str, int]] = {}
+        self.bytes_of_decimal = {str(i): w for i, w in self.bytes_of.items()}
+        self.kept = Kept(self)
 
     @classmethod
+    @lru_cache(maxsize=2)  # Python workers live on from task to task
     def from_file(cls, path: str, pattern: str) -> Codec:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -84,24 +109,24 @@ class Codec:
 
     def merged(self, word: bytes) -> list[int]:
         """Ids of a pre-token by merging linked bytes: the heap holds the adjacent pairs that are tokens, by rank."""
-        n, ranks = len(word), self.ranks
+        n, rank, push, pop = len(word), self.ranks.get, heapq.heappush, heapq.heappop
         end = list(range(1, n + 1))  # of the part that begins here; 0 once it is merged into the one before
         prev = list(range(-1, n - 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
+            _, i, stop = pop(heap)
             mid = end[i]
             if not mid or mid >= n or end[mid] != stop:  # a part has changed since
                 continue
             end[i], end[mid] = stop, 0
             if stop < n:
                 prev[stop] = i
-                if (r := ranks.get(word[i : end[stop]])) is not None:
-                    heapq.heappush(heap, (r, i, end[stop]))
-            if i and (r := ranks.get(word[(p := prev[i]) : stop])) is not None:
-                heapq.heappush(heap, (r, p, stop))
-        ids, i = [], 0
+                if (r := rank(word[i : end[stop]])) is not None:
+                    push(heap, (r, i, end[stop]))
+            if i and (r := rank(word[(p := prev[i]) : stop])) is not None:
+                push(heap, (r, p, stop))
+        ids, i, ranks = [], 0, self.ranks
         while i < n:
             ids.append(ranks[word[i : end[i]]])
             i = end[i]
@@ -111,18 +136,9 @@ class Codec:
         slot = self.hash.find(word)
         return [self.id_of_slot[slot]] if slot >= 0 else self.merged(word)
 
-    def learn(self, pre_token: str) -> tuple[str, int]:
-        if len(self.kept) >= KEPT:
-            self.kept.clear()
-        ids = self.ids(pre_token.encode("utf-8", "surrogatepass"))
-        self.kept[pre_token] = found = (",".join(map(str, ids)), len(ids))
-        return found
-
-    def joined(self, text: str) -> tuple[str, int]:
-        """The ids of ``text`` as decimals joined by commas, and their number."""
-        kept, learn = self.kept, self.learn
-        out = [kept.get(x) or learn(x) for x in self.split.findall(text)]
-        return ",".join([x[0] for x in out]), sum([x[1] for x in out])
+    def joined(self, text: str) -> str:
+        """The ids of ``text`` as decimals joined by commas."""
+        return ",".join(map(self.kept.__getitem__, self.split.findall(text)))
 
     def encode(self, text: str) -> list[int]:
         return [i for x in self.split.findall(text) for i in self.ids(x.encode())]
@@ -131,7 +147,7 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def decode_joined(self, joined: str) -> bytes:
-        return self.decode(list(map(int, joined.split(",")))) if joined else b""
+        return b"".join(map(self.bytes_of_decimal.__getitem__, joined.split(","))) if joined else b""
 
 
 def encoded(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -149,13 +165,12 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
         def run(texts: list) -> dict:
             out: dict[str, list] = {"ids": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             for text in texts:
-                joined, n = codec.joined(text or "")
-                ids = list(map(int, joined.split(","))) if joined else []
-                out["n_tokens"].append(n)
+                joined = codec.joined(text or "")
+                out["n_tokens"].append(joined.count(",") + 1 if joined else 0)
                 out["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(codec.decode_joined(joined)).hexdigest())
                 if keep_ids:
-                    out["ids"].append(ids)
+                    out["ids"].append(list(map(int, joined.split(","))) if joined else [])
             return out
 
         return run

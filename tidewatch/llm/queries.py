@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, exact, html, mixing, nearest, ngram, toxicity, unigram, warc
+from tidewatch.llm import bpe, exact, html, mixing, nearest, ngram, suffix, toxicity, unigram, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.searched(table(spark, sf_dir, "embeddings"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.near_groups(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op2_toxic_segments, op3_byte_bpe, op4_html_extraction, op5_warc_archives, op6_token_counts, op7_nearest_neighbours, op9_ngram_join, op10_exact_dedup)
+    f.__name__: f for f in (op1_source_mixing, op2_toxic_segments, op3_byte_bpe, op4_html_extraction, op5_warc_archives, op6_token_counts, op7_nearest_neighbours, op8_suffix_dedup, op9_ngram_join, op10_exact_dedup)
 }
 
 LINE = r"""

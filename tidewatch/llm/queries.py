@@ -46,7 +46,7 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix.deduplicated(table(spark, sf_dir, "documents"), keep_bytes=False)
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -294,8 +294,8 @@ def removed(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return found.unionAll(flagged).unionAll(across)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """Per document ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the remaining bytes).
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, keep_bytes: bool = True) -> DataFrame:
+    """Per document ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if kept, ``kept`` (the remaining bytes).
 
     Texts are UTF-8 bytes, null as empty.  Removed is every byte that a string of ``LENGTH`` bytes covers which also
     starts earlier: in a document of smaller id, or before in the same one; overlaps count.  A null id is the smallest.
@@ -330,9 +330,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out["n_removed"].append(len(raw) - len(left))
                 out["n_spans"].append(n)
                 out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
-                out["kept"].append(left)
+                if keep_bytes:
+                    out["kept"].append(left)
             return out
 
         return run
 
-    return map_rows(joined, make, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", ["text", "ranges"], ["doc_id"])
+    new = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
+    return map_rows(joined, make, new, ["text", "ranges"], ["doc_id"])

@@ -58,8 +58,16 @@ def test_groups_against_brute_force(spark, monkeypatch, small, block):
     monkeypatch.setattr(ngram, "BLOCK", block)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 1, "p") for i, t in rows], "doc_id long, text string, n int, print string")
+    want = brute(rows)
     out = ngram.near_groups(docs).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(rows)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == want
+    out = ngram.near_groups(docs, count_links=True).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == want
+    sets = {frozenset(shingle_set(t, 3)) for _, t in rows if shingle_set(t, 3)}
+    text = dict(rows)
+    for r in out:
+        own = shingle_set(text[r.doc_id], 3)
+        assert r.n_links == sum(own != s and 100 * len(own & s) >= 90 * len(own | s) for s in sets if own)
 
 
 def test_repeated_rows_null_ids_long_texts_and_empty(spark):

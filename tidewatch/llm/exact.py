@@ -40,7 +40,7 @@ def name_values(rows: DataFrame, cols: list[str], key: Column | None = None) ->
     """
     keyed = rows.withColumn("key", F.xxhash64(*cols) if key is None else key)
     values = keyed.select("key", *cols).distinct().sortWithinPartitions(*cols)
-    names = staged(values.select("key", (F.monotonically_increasing_id() + 1).alias("name")), "names")
+    names = staged(values.select("key", (F.monotonically_increasing_id() + 1).alias("name")), "names", large=True)
     clash = names.groupBy("key").count().where("count > 1").select("key")
     if not clash.take(1):
         return keyed.join(names, "key").select("id", "sha", "n", "pos", "name")
@@ -61,7 +61,7 @@ def identities(docs: DataFrame, block: int = BLOCK, key: Column | None = None) -
     rows = docs.select("id", "sha", blocks_of(F.col("text"), block).alias("blocks"))
     rows = rows.select("id", "sha", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "block"))
     rows = rows.withColumn("block", normalised(F.col("block")))  # letter by letter, so it may follow the cutting
-    named, level, done = staged(name_values(rows, ["block"], key), "level"), 0, None
+    named, level, done = staged(name_values(rows, ["block"], key), "level", large=True), 0, None
     while True:
         ended = named.where("n = 1").select("id", "sha", F.lit(level).alias("level"), "name").distinct()
         done = ended if done is None else done.unionAll(ended)

@@ -36,6 +36,8 @@ BAND = 1.3
 SMALL, BLOCK = 32, 1024
 #: Times that a part's nodes are compared with one of them before pairs are.
 STARS = 2
+#: Words of the folded sketch that is carried into blocks.
+FOLD = 32
 #: Words whose hashes a task keeps.
 KEPT = 500_000
 
@@ -108,6 +110,12 @@ def sketch(hashes: np.ndarray, parts: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def folded(parts: np.ndarray) -> np.ndarray:
+    """The same sketch in ``FOLD`` words at most: parity of parities, so its distances are lower bounds as well."""
+    rest = -len(parts) % FOLD
+    return np.bitwise_xor.reduce(np.pad(parts, (0, rest)).reshape(-1, FOLD), axis=0)
+
+
 def sketched(docs: DataFrame, id_col: str, text_col: str, size: int, similar: int) -> DataFrame:
     """Rows ``doc_id, n, print, sketches``: set size, 128-bit fingerprint of the set, one sketch per join."""
 
@@ -120,37 +128,42 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, size: int, similar: in
                 h = shingles(words_of(text), kept, size)
                 out["n"].append(len(h))
                 out["print"].append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
-                out["sketches"].append([{"band": k, "parts": sketch(h, p)} for k, p in entries(len(h), similar)] if len(h) else [])
+                found = [(k, sketch(h, p)) for k, p in entries(len(h), similar)] if len(h) else []
+                out["sketches"].append([{"band": k, "parts": x, "fold": folded(x)} for k, x in found])
             return out
 
         return run
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_rows(rows, make, "n long, print binary, sketches array<struct<band: int, parts: array<long>>>", ["text"], ["doc_id"])
+    return map_rows(rows, make, "n long, print binary, sketches array<struct<band: int, parts: array<long>, fold: array<long>>>", ["text"], ["doc_id"])
 
 
 def near_in_blocks(rows: DataFrame, similar: int) -> DataFrame:
-    """``rows`` (key, band, block_a, block_b, side, node, n, parts, root), a group per (key, band, block_a, block_b) -> pairs (a, b)
-    of different roots within the Hamming bound.  Groups are of bounded size and come one after another in sorted partitions."""
+    """``rows`` (key, band, block_a, block_b, side, node, n, fold, root, keys), a group per (key, band, block_a, block_b)
+    -> pairs (a, b, band) of different roots whose folded sketches are within the bound.
+
+    Groups are of bounded size and come one after another in sorted partitions.  ``keys`` are all such keys of the node:
+    a pair is told only in the smallest that both have.
+    """
     bounded_batches(rows)
 
     def pairs(group: list[tuple]) -> pa.RecordBatch:
-        side = np.array([g[4] for g in group])
-        node, n = np.array([g[5] for g in group]), np.array([g[6] for g in group])
-        parts = np.array([g[7] for g in group], np.int64).view(np.uint64)
-        root = np.array([g[8] for g in group])
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        key, band = group[0][:2]
+        side, node, n, root = (np.array([g[i] for g in group]) for i in (4, 5, 6, 8))
+        fold = np.array([g[7] for g in group], np.int64).view(np.uint64)
+        right = np.flatnonzero(side != 0)
         a, b = [], []
-        for i in left:
+        for i in np.flatnonzero(side != 1):
             j = right[node[right] > node[i]] if (side[i] == 2) else right
             j = j[(root[j] != root[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * similar)]
             if len(j):
-                far = np.bitwise_count(parts[j] ^ parts[i]).sum(axis=1, dtype=np.int64)
-                j = j[far * (100 + similar) <= (n[j] + n[i]) * (100 - similar)]
-                a.append(np.minimum(node[i], node[j]))
-                b.append(np.maximum(node[i], node[j]))
-        none = np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], names=["a", "b"])
+                far = np.bitwise_count(fold[j] ^ fold[i]).sum(axis=1, dtype=np.int64)
+                own = set(group[i][9])
+                for x in j[far * (100 + similar) <= (n[j] + n[i]) * (100 - similar)].tolist():
+                    if min(own.intersection(group[x][9])) == key:
+                        a.append(min(node[i], node[x]))
+                        b.append(max(node[i], node[x]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([band] * len(a), pa.int32())], names=["a", "b", "band"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -163,36 +176,36 @@ def near_in_blocks(rows: DataFrame, similar: int) -> DataFrame:
         if group:
             yield pairs(group)
 
-    rows = rows.select("key", "band", "block_a", "block_b", "side", "node", "n", "parts", "root")
+    rows = rows.select("key", "band", "block_a", "block_b", "side", "node", "n", "fold", "root", "keys")
     group_of = ["key", "band", "block_a", "block_b"]
-    return rows.repartition(*group_of).sortWithinPartitions(*group_of).mapInArrow(run, "a long, b long")
+    return rows.repartition(*group_of).sortWithinPartitions(*group_of).mapInArrow(run, "a long, b long, band int")
 
 
 def flattened(nodes: DataFrame) -> DataFrame:
-    return nodes.select("node", "n", F.explode("sketches").alias("s")).select("node", "n", "s.band", "s.parts")
+    return nodes.select("node", "n", F.explode("sketches").alias("s")).select("node", "n", "s.band", "s.parts", "s.fold")
 
 
 def shared_parts(nodes: DataFrame) -> DataFrame:
-    """``node, band, key, members``: the parts of sketches that several nodes have."""
-    keyed = flattened(nodes).select("node", "band", F.posexplode("parts").alias("pos", "part")).select("node", "band", F.xxhash64("band", "pos", "part").alias("key"))
+    """``node, n, band, key, members``: the parts of sketches that several nodes have."""
+    keyed = flattened(nodes).select("node", F.col("n").cast("int").alias("n"), "band", F.posexplode("parts").alias("pos", "part")).select("node", "n", "band", F.xxhash64("band", "pos", "part").alias("key"))
     several = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    return staged(keyed.join(several, "key"), "shared")
+    return staged(keyed.join(several, "key"), "shared", large=True)
 
 
 def within_bounds(pairs: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
-    """Of ``pairs`` (a, b, band, ...) those whose sizes and Hamming distance allow a link."""
+    """Of ``pairs`` (a, b, band) those whose sizes and folded sketches' Hamming distance allow a link."""
     flat = flattened(nodes)
-    side = lambda x: flat.select(F.col("node").alias(x), "band", F.col("n").alias(f"n_{x}"), F.col("parts").alias(f"parts_{x}"))
+    side = lambda x: flat.select(F.col("node").alias(x), "band", F.col("n").alias(f"n_{x}"), F.col("fold").alias(f"fold_{x}"))
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similar
     far = F.aggregate(
-        F.zip_with("parts_a", "parts_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("long"), lambda s, x: s + x.cast("long")
+        F.zip_with("fold_a", "fold_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("long"), lambda s, x: s + x.cast("long")
     )
     met = pairs.join(side("a"), ["a", "band"]).join(side("b"), ["b", "band"])
     return met.where(fits & (far * (100 + similar) <= (F.col("n_a") + F.col("n_b")) * (100 - similar))).select("a", "b").distinct()
 
 
 def candidates(shared: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
-    """``shared`` (node, band, key, members, root) -> distinct pairs (a, b), a < b, of different roots that no bound
+    """``shared`` (node, n, band, key, members, root) -> distinct pairs (a, b), a < b, of different roots that no bound
     tells apart."""
     some = shared.where(F.col("members") <= SMALL)
     one = some.select("key", "band", F.col("node").alias("a"), F.col("root").alias("root_a"))
@@ -206,27 +219,27 @@ def candidates(shared: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
     met = met.join(size("a"), ["a", "band"]).join(size("b"), ["b", "band"]).join(crowded, ["a", "band"], "left")
     differing = F.col("p_a") - F.col("equal") - F.coalesce("crowded", F.lit(0))
     met = met.where(differing * (100 + similar) <= (F.col("n_a") + F.col("n_b")) * (100 - similar)).select("a", "b", "band")
-    near = within_bounds(met, nodes, similar)
     if many.take(1):
+        held = many.groupBy("node", "band").agg(F.collect_set("key").alias("keys")).join(flat.select("node", "band", "fold"), ["node", "band"])
         blocks = F.ceil(F.col("members") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        dealt = many.join(flat, ["node", "band"]).withColumn("blocks", blocks).withColumn("own", own)
+        dealt = many.join(staged(held, "held"), ["node", "band"]).withColumn("blocks", blocks).withColumn("own", own)
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         first = F.col("own") <= F.col("other")
         dealt = dealt.select(
-            "key", "band", "node", "n", "parts", "root", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"),
+            "key", "band", "node", "n", "fold", "root", "keys", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"),
             F.when(F.col("own") == F.col("other"), 2).when(first, 0).otherwise(1).alias("side"),
         )
-        near = near.unionAll(near_in_blocks(dealt, similar))
-    return near.distinct()
+        met = met.unionAll(near_in_blocks(dealt, similar)).distinct()
+    return within_bounds(met, nodes, similar)
 
 
-def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, unique: bool) -> DataFrame:
     """``node, text`` of the nodes in ``wanted``, staged.  The corpus is read once more; only wanted texts are kept."""
     wanted = staged(wanted.distinct().join(nodes.select("node", F.col("doc_id").alias("i"), F.col("print").alias("p")), "node"), "wanted")
-    ids = staged(wanted.select("i").distinct(), "ids")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.join(ids, rows["doc_id"].eqNullSafe(ids["i"]), "left_semi")
+    if unique:
+        return staged(rows.join(wanted.select("i", "node"), rows["doc_id"].eqNullSafe(wanted["i"])).select("node", "text"), "texts", large=True)
 
     def make():  # noqa: ANN202
         held = Hashes()
@@ -237,9 +250,11 @@ def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
         return run
 
     # an id may stand for rows of different texts: the fingerprint says which is meant
+    ids = staged(wanted.select("i").distinct(), "ids")
+    rows = rows.join(ids, rows["doc_id"].eqNullSafe(ids["i"]), "left_semi")
     texts = map_rows(rows.withColumn("copy", F.col("text")), make, "print binary", ["text"], ["doc_id", "copy"])
     texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["i"]) & (texts["print"] == wanted["p"]))
-    return staged(texts.select("node", F.col("copy").alias("text")).dropDuplicates(["node"]), "wanted")
+    return staged(texts.select("node", F.col("copy").alias("text")).dropDuplicates(["node"]), "texts", large=True)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, similar: int) -> DataFrame:
@@ -262,66 +277,66 @@ def both_ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
 
 
-def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int, similar: int) -> tuple[DataFrame, DataFrame]:
-    """Staged rows (doc_id, n, print) and nodes (node, print, doc_id, n, sketches), one per distinct non-empty set."""
+def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int, similar: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Staged rows (doc_id, n, print) and nodes (node, print, doc_id, n, sketches), one per distinct non-empty set; and
+    whether every id is one row's own."""
     first = staged(sketched(docs, id_col, text_col, size, similar), "sketched")
     rows = staged(first.select("doc_id", "n", "print"), "sets")
     nodes = first.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
-    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", large=True)
     drop(first)
-    return rows, nodes
+    return rows, nodes, not rows.groupBy("doc_id").count().where("count > 1").take(1)
 
 
-def every_link(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, similar: int) -> DataFrame:
+def every_link(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, similar: int, unique: bool) -> DataFrame:
     """All links (a, b) between nodes."""
     shared = shared_parts(nodes).withColumn("root", F.col("node"))
-    pairs = staged(candidates(shared, nodes, similar), "pairs")
-    texts = texts_of(both_ends(pairs), nodes, docs, id_col, text_col, size)
-    return staged(verified(pairs, texts, size, similar), "linked")
+    pairs = staged(candidates(shared, nodes, similar), "pairs", large=True)
+    texts = texts_of(both_ends(pairs), nodes, docs, id_col, text_col, size, unique)
+    return staged(verified(pairs, texts, size, similar), "linked", large=True)
 
 
-def spanning_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, similar: int) -> DataFrame:
+def spanning_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, similar: int, unique: bool) -> DataFrame:
     """Links enough to connect whatever links connect.
 
-    First each shared part's nodes are compared with one of them, a few times with another one; then, in the parts whose
-    nodes still fall into several components, all pairs across components are.  A large group of near copies is mostly
-    connected by then, and its pairs are never listed.
+    First each node is compared with the one that it meets most often among its shared parts' centres, for several
+    choices of centres; then, in the parts whose nodes still fall into several components, all pairs across components
+    are.  A large group of near copies is mostly connected by then, and its pairs are never listed.
     """
     shared = shared_parts(nodes)
-    texts = texts_of(shared.select("node"), nodes, docs, id_col, text_col, size)
-    links = None
-
-    def mixed() -> DataFrame:
-        if links is None:
-            return shared.withColumn("root", F.col("node"))
-        rooted = shared.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        parts = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-        return rooted.join(parts.select("key"), "key", "left_semi")
-
+    fits = F.least("n", "m.n") * 100 >= F.greatest("n", "m.n") * similar
+    stars = None
     for turn in range(STARS):
-        now = staged(mixed(), "mixed")
-        middle = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "root")).alias("m"))
-        star = now.join(middle, "key").where(F.col("root") != F.col("m.root"))
-        star = star.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b"), "band").distinct()
-        found = staged(verified(within_bounds(star, nodes, similar), texts, size, similar), "linked")
-        links = found if links is None else links.unionAll(found)
-        drop(now)
-    pairs = staged(candidates(staged(mixed(), "mixed"), nodes, similar), "pairs")
-    return links.unionAll(staged(verified(pairs, texts, size, similar), "linked"))
-
-
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similar: int = SIMILAR) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, n_links``.
+        middle = shared.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("turn"), "node", "n")).alias("m"))
+        star = shared.join(middle, "key").where((F.col("node") != F.col("m.node")) & fits)
+        star = star.groupBy("node", "band", F.col("m.node").alias("centre")).agg(F.count("*").alias("times"))
+        star = star.groupBy("node", "band").agg(F.max_by("centre", F.struct("times", "centre")).alias("centre"))
+        star = star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "band")
+        star = staged(within_bounds(star, nodes, similar), "star", large=True)
+        stars = star if stars is None else stars.unionAll(star)
+    stars = stars.distinct()
+    texts = texts_of(both_ends(stars), nodes, docs, id_col, text_col, size, unique)
+    links = staged(verified(stars, texts, size, similar), "linked", large=True)
+    rooted = shared.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    mixed = staged(rooted.join(parts.select("key"), "key", "left_semi"), "mixed", large=True)
+    pairs = staged(candidates(mixed, nodes, similar), "pairs", large=True)
+    texts = texts_of(both_ends(pairs), nodes, docs, id_col, text_col, size, unique)
+    return links.unionAll(staged(verified(pairs, texts, size, similar), "linked", large=True))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similar: int = SIMILAR, count_links: bool = False) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id`` and, if counted, ``n_links``.
 
     Words are runs of anything but ASCII white space, with A-Z lower-cased; the set holds the distinct shingles of
     ``size`` words, or the whole sequence if there are fewer.  Two documents are linked when their sets' Jaccard
     similarity is ``similar`` hundredths or more; ``component_id`` is the smallest id reachable by links.  A null, empty
     or blank text has an empty set and is linked with nothing.  ``n_links`` counts the links of the row's set with
-    different sets, leaving out its equals.  Repeated rows have equal sets; a null id is never the smallest.  Sets are
+    different sets, leaving out its equals; without it, links inside what is connected already need not be listed.  Repeated rows have equal sets; a null id is never the smallest.  Sets are
     told apart by 128-bit fingerprints and counted by 64-bit shingle hashes; links are decided on the shingles.
     """
-    rows, nodes = sets_of(docs, id_col, text_col, size, similar)
-    links = every_link(nodes, docs, id_col, text_col, size, similar)
+    rows, nodes, unique = sets_of(docs, id_col, text_col, size, similar)
+    links = (every_link if count_links else spanning_links)(nodes, docs, id_col, text_col, size, similar, unique)
     roots = components(links)
     least = nodes.select("node", "doc_id")
     named = staged(roots.join(least, "node"), "roots")
@@ -332,7 +347,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = sets.select(F.col("print").alias("p"), F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = rows.join(sets, (rows["print"] == sets["p"]) & (F.col("n") > 0), "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    links_of = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), *links_of)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similar: int = 80) -> DataFrame:
@@ -340,16 +356,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Columns are as they were.  Rows with an empty set stay; where rows repeat under the smallest id, one stays.
     """
-    rows, nodes = sets_of(docs, id_col, text_col, size, similar)
-    roots = components(spanning_links(nodes, docs, id_col, text_col, size, similar))
+    rows, nodes, unique = sets_of(docs, id_col, text_col, size, similar)
+    roots = components(spanning_links(nodes, docs, id_col, text_col, size, similar, unique))
     named = staged(roots.join(nodes.select("node", "doc_id", "print"), "node"), "roots")
     least = named.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("least"))
     goes = named.join(least, "root").where("node != least.node").select("print")
     stay = rows.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id")).join(goes, "print", "left_anti")
     gone = rows.where("n > 0").join(stay, rows["print"].eqNullSafe(stay["print"]) & rows["doc_id"].eqNullSafe(stay["doc_id"]), "left_anti")
-    twice = rows.where("n > 0").groupBy("doc_id", "print").count().where("count > 1").select("doc_id", "print")
-    again = twice.take(1) or rows.groupBy("doc_id").agg(F.countDistinct("print").alias("k")).where("k > 1").take(1)
-    if not again:
+    if unique:
         gone = staged(gone.select(F.col("doc_id").alias("__i")), "gone")
         return docs.join(gone, docs[id_col].eqNullSafe(gone["__i"]), "left_anti").select(*docs.columns)
     return drop_by_print(docs, stay, id_col, text_col, size)

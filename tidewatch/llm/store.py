@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,16 +27,29 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 #: Paths written by :func:`staged` and not yet deleted, oldest first.
 _WRITTEN: list[str] = []
+#: Those of the pipeline stage that ran last.
+_LEFT: list[str] = []
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: computed once, safe against lost executors."""
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps, which stay until the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def staged(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: computed once, safe against lost executors.
+
+    After a ``large`` step its shuffle files are let go of.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
     _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    if large:
+        release(spark)
     return out
 
 
@@ -48,7 +64,19 @@ def drop(df: DataFrame) -> None:
     _WRITTEN.remove(df.staged_path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete every staged table; only for callers that know all earlier results to be written elsewhere."""
-    while _WRITTEN:
-        delete(spark, _WRITTEN.pop())
+def tidy(stage: Callable) -> Callable:
+    """A stage of a pipeline that first deletes what the stage before it staged: its result is written by then."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _LEFT:
+            path = _LEFT.pop()
+            delete(spark, path)
+            if path in _WRITTEN:
+                _WRITTEN.remove(path)
+        before = set(_WRITTEN)
+        out = stage(spark, docs, sf_dir)
+        _LEFT.extend(x for x in _WRITTEN if x not in before)
+        return out
+
+    return run

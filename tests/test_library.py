@@ -364,3 +364,66 @@ def test_keyed_series_equal_single_ones(spark):
             one = got(d.clone().fit_detect(tw.Series.from_arrays(spark, np.arange(60) * HOUR, x, ["x"])))
             many = out[out.k == k].sort_values("t_ns")["x"]
             assert [None if pd.isna(v) else v for v in many] == one
+
+
+def test_chunks_give_what_the_whole_gives(spark):
+    rng = np.random.default_rng(8)
+    t = np.cumsum(rng.integers(1, 9, 300)) * 60 * 10**9
+    s = tw.Series.from_arrays(spark, t, rng.normal(size=300))
+    scorer = tw.RollingAggregateScorer("30min", "median")
+    assert got(scorer.score(s.in_chunks("2h", before="30min")).out_of_chunks("2h")) == got(scorer.score(s))
+    d = tw.ScoreDetector(tw.DoubleRollingScorer("1h", "mean"), tw.IqrThreshold(0.5)).fit(s)
+    assert got(d.detect(s.in_chunks("3h", before="1h", after="1h")).out_of_chunks("3h")) == got(d.detect(s))
+
+
+def test_bracketed_quantiles_are_exact(spark, monkeypatch):
+    from tidewatch.operators import component
+
+    rng = np.random.default_rng(9)
+    for x in (rng.normal(size=50_000), np.round(rng.normal(size=20_000), 1), np.ones(20_000), np.arange(30_000.0)):
+        s = tw.Series.from_arrays(spark, np.arange(len(x)), x)
+        monkeypatch.setattr(component, "LARGE", 1)
+        out = component.quantiles(s, {"value": {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.987, "e": 1.0}})["value"]
+        np.testing.assert_allclose([out[k] for k in "abcde"], np.quantile(x, [0, 0.25, 0.5, 0.987, 1]), rtol=1e-9, atol=1e-9)
+
+
+def test_streams(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    x = (100 + 3 * np.sin(2 * np.pi * np.arange(120) / 24) + rng.normal(0, 0.5, 120)).tolist()
+    x[110] = 180
+    s = series(spark, x)
+    t0, spike = pd.Timestamp("2024-01-01").value, tw.SpikeDetector(12).fit(s)
+    cut = t0 + 100 * HOUR
+    past, new = (tw.Series(s.df.where(c), s.values) for c in (F.col("t_ns") < cut, F.col("t_ns") >= cut))
+    stream = tw.Stream(spike, 24).prime(past)
+    assert got(stream.update_many(new)) == got(spike.detect(s))[100:]
+    assert stream.update(t0 + 120 * HOUR, 500.0) == 1.0
+    with pytest.raises(ValueError, match="later"):
+        stream.update(t0 + 120 * HOUR, 1.0)
+    with pytest.raises(ValueError, match="ahead|history"):
+        tw.Stream(tw.HampelDetector(7), 30).prime(past)
+    with pytest.raises(ValueError, match="history"):
+        tw.Stream(tw.ScoreDetector(tw.RollingAggregateScorer(20), tw.FixedThreshold(high=100)).fit(s), 10).prime(past)
+    found = {}
+    step = tw.Stream(spike, 24).foreach_batch(str(tmp_path / "held"), lambda df, i: found.update({r.t_ns: r.x for r in df.collect()}))
+    (tmp_path / "in").mkdir()
+    s.df.where(F.col("t_ns") < cut).coalesce(1).write.parquet(str(tmp_path / "in" / "a"))
+    s.df.where(F.col("t_ns") >= cut).coalesce(1).write.parquet(str(tmp_path / "in" / "b"))
+    for part in ("a", "b"):
+        source = spark.readStream.schema(s.df.schema).parquet(str(tmp_path / "in" / part))
+        number = {"a": 0, "b": 1}[part]
+        q = source.writeStream.foreachBatch(lambda df, _, n=number: step(df, n)).option("checkpointLocation", str(tmp_path / f"ck{part}")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert [found[t0 + i * HOUR] for i in range(100, 120)] == got(spike.detect(s))[100:]
+
+
+def test_online_tails(spark, tmp_path):
+    e = np.random.default_rng(2).exponential(1.0, 2000)
+    fitted = tw.PotThreshold(high=1e-3, level=0.95).fit(tw.Series.from_arrays(spark, np.arange(2000), e))
+    rows = [(k, i, v) for k in ("a", "b") for i, v in enumerate([1.0, 50.0, None, 0.5])]
+    spark.createDataFrame(rows, "k string, t_ns long, v double").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, t_ns long, v double").parquet(str(tmp_path / "in"))
+    q = tw.online_pot(stream, fitted, "k", "v").writeStream.format("memory").queryName("tails").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    out = {(r.k, r.t_ns): r.label for r in spark.table("tails").collect()}
+    assert [out["a", i] for i in range(4)] == [out["b", i] for i in range(4)] == [0.0, 1.0, None, 0.0]

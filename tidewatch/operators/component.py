@@ -139,6 +139,37 @@ def learn(series: Series, stats: dict[str, dict[str, Column]], df: DataFrame | N
     return {column: {name: row[f"{column}__{name}"] for name in of} for column, of in stats.items()}
 
 
+#: Rows of one series from which exact quantiles are bracketed first; accuracy of the brackets.
+LARGE, ACCURACY = 5_000_000, 10_000
+
+
+def quantiles(series: Series, wanted: dict[str, dict[str, float]], df: DataFrame | None = None) -> Learned:
+    """Exact quantiles with linear interpolation, per column and name.
+
+    Spark's exact percentile holds a group's distinct values in one task.  That suits many series; one large series is
+    bracketed first: an approximate pass bounds each quantile, a second counts what lies below and inside, and only the
+    values inside the narrow bracket, a few of ``ACCURACY`` parts, are ranked."""
+    df = series.df if df is None else df
+    plain = {c: {n: F.percentile(c, F.lit(float(q))) for n, q in of.items()} for c, of in wanted.items()}
+    if series.keys:
+        return learn(series, plain, df)
+    counts = df.agg(*[F.count(c).alias(c) for c in wanted]).first()
+    if max(counts[c] for c in wanted) < LARGE:
+        return learn(series, plain, df)
+    items = [(c, n, q) for c, of in wanted.items() for n, q in of.items()]
+    ends = lambda q: F.array(F.lit(max(0.0, q - 3 / ACCURACY)), F.lit(min(1.0, q + 3 / ACCURACY)))
+    spans = df.agg(*[F.percentile_approx(c, ends(q), ACCURACY).alias(f"s{i}") for i, (c, _, q) in enumerate(items)]).first()
+    inside = [(F.col(c) >= spans[i][0]) & (F.col(c) <= spans[i][1]) for i, (c, _, _) in enumerate(items)]
+    below = [F.sum((F.col(c) < spans[i][0]).cast("long")) for i, (c, _, _) in enumerate(items)]
+    held = df.agg(*[x for i in range(len(items)) for x in (below[i], F.sum(inside[i].cast("long")))]).first()
+    share = [((counts[c] - 1) * q - held[2 * i]) / max(1, held[2 * i + 1] - 1) for i, (c, _, q) in enumerate(items)]
+    picked = df.agg(*[F.percentile(F.when(inside[i], F.col(c)), F.lit(min(1.0, max(0.0, share[i])))) for i, (c, _, _) in enumerate(items)]).first()
+    out: dict[str, dict[str, Any]] = {c: {} for c in wanted}
+    for (c, n, _), v in zip(items, picked, strict=True):
+        out[c][n] = v
+    return out
+
+
 class Attached:
     """A table with a model's numbers at hand: ``model(column, name)`` is a Column."""
 
@@ -146,10 +177,11 @@ class Attached:
         base = series.df if df is None else df
         self.local = model if isinstance(model, dict) else None
         if self.local is None:
-            extra = [c for c in model.columns if c not in series.keys]
-            renamed = model.select(*[F.col(k).alias(f"__k_{k}") for k in series.keys], *extra)
-            same_key = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in series.keys]
-            base = base.join(renamed, same_key, "left").drop(*[f"__k_{k}" for k in series.keys])
+            keys = [k for k in series.keys if k in model.columns]  # a probe's or a chunk's key is not the model's
+            extra = [c for c in model.columns if c not in keys]
+            renamed = model.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *extra)
+            same_key = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+            base = base.join(renamed, same_key, "left").drop(*[f"__k_{k}" for k in keys])
         self.df = base
 
     def __call__(self, column: str, name: str) -> Column:

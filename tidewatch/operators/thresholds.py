@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewatch.functions.kernels import LEAST_PEAKS, MAD_SCALE, esd_critical, esd_survivors, gpd_fit, pot_fence
-from tidewatch.operators.component import Attached, BaseThreshold, learn
+from tidewatch.operators.component import Attached, BaseThreshold, learn, quantiles
 from tidewatch.sources.series import Series
 
 INFINITY = float("inf")
@@ -35,6 +35,41 @@ def sides(factor: Any) -> tuple[float | None, float | None]:
     return low, high
 
 
+class Numbers:
+    """A learned model of one series, read as plain numbers."""
+
+    def __init__(self, model: dict):
+        self.model = model
+
+    def __call__(self, column: str, name: str) -> float | None:
+        return self.model[column][name]
+
+
+def both(series: Series, first: Any, second: Any) -> Any:
+    """Two learned models as one."""
+    if isinstance(first, dict):
+        return {c: {**first[c], **second[c]} for c in first}
+    return first.join(second, list(series.keys), "left")
+
+
+def fenced(series: Series, found: Any, edges: Any, known: str) -> Any:
+    """Fences ``edges(at, column)`` of learned numbers; None is an open side, open only where something is known."""
+    if isinstance(found, dict):
+        at, out = Numbers(found), {}
+        for c in series.values:
+            some = found[c][known] is not None
+            low, high = edges(at, c) if some else (None, None)
+            out[c] = {"low": (-INFINITY if low is None else low) if some else None, "high": (INFINITY if high is None else high) if some else None}
+        return out
+    at = lambda c, n: F.col(f"{c}__{n}")
+    columns = []
+    for c in series.values:
+        low, high = edges(at, c)
+        some = at(c, known).isNotNull()
+        columns += [F.when(some, F.lit(-INFINITY) if low is None else low).alias(f"{c}__low"), F.when(some, F.lit(INFINITY) if high is None else high).alias(f"{c}__high")]
+    return found.select(*series.keys, *columns).persist()
+
+
 class FencedThreshold(BaseThreshold):
     """Learns ``low`` and ``high`` per column; applying is one expression per column."""
 
@@ -82,10 +117,9 @@ class QuantileThreshold(FencedThreshold):
             raise ValueError("a quantile threshold needs a bound")
 
     def _learn(self, series: Series) -> None:
-        def side(c: str, q: float | None, open_: float) -> Column:
-            return F.when(F.count(c) > 0, F.lit(open_)) if q is None else F.percentile(c, F.lit(float(q)))
-
-        self.fences_ = learn(series, {c: {"low": side(c, self.low, -INFINITY), "high": side(c, self.high, INFINITY)} for c in series.values})
+        wanted = {n: q for n, q in (("low", self.low), ("high", self.high)) if q is not None}
+        found = quantiles(series, {c: wanted for c in series.values})
+        self.fences_ = fenced(series, found, lambda at, c: (None if self.low is None else at(c, "low"), None if self.high is None else at(c, "high")), next(iter(wanted)))
 
 
 class IqrThreshold(FencedThreshold):
@@ -97,17 +131,13 @@ class IqrThreshold(FencedThreshold):
 
     def _learn(self, series: Series) -> None:
         low, high = sides(self.factor)
+        found = quantiles(series, {c: {"a": 0.25, "b": 0.75} for c in series.values})
 
-        def fences(c: str) -> dict[str, Column]:
-            q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
-            a, b = F.element_at(q, 1), F.element_at(q, 2)
-            some = F.count(c) > 0
-            return {
-                "low": F.when(some, F.lit(-INFINITY)) if low is None else a - low * (b - a),
-                "high": F.when(some, F.lit(INFINITY)) if high is None else b + high * (b - a),
-            }
+        def edges(at: Any, c: str) -> tuple:
+            a, b = at(c, "a"), at(c, "b")
+            return None if low is None else a - low * (b - a), None if high is None else b + high * (b - a)
 
-        self.fences_ = learn(series, {c: fences(c) for c in series.values})
+        self.fences_ = fenced(series, found, edges, "a")
 
 
 class MadThreshold(FencedThreshold):
@@ -119,22 +149,16 @@ class MadThreshold(FencedThreshold):
 
     def _learn(self, series: Series) -> None:
         low, high = sides(self.factor)
-        medians = learn(series, {c: {"median": F.percentile(c, F.lit(0.5))} for c in series.values})
+        medians = quantiles(series, {c: {"m": 0.5} for c in series.values})
         at = Attached(series, medians)
-        away = {c: F.percentile(F.abs(F.col(c) - at(c, "median")), F.lit(0.5)) * MAD_SCALE for c in series.values}
-        middle = {c: F.first(at(c, "median")) for c in series.values}
-        some = {c: F.count(c) > 0 for c in series.values}
-        self.fences_ = learn(
-            series,
-            {
-                c: {
-                    "low": F.when(some[c], F.lit(-INFINITY)) if low is None else middle[c] - low * away[c],
-                    "high": F.when(some[c], F.lit(INFINITY)) if high is None else middle[c] + high * away[c],
-                }
-                for c in series.values
-            },
-            at.df,
-        )
+        away = series.with_values({c: F.abs(F.col(c) - at(c, "m")) for c in series.values}, at.df)
+        found = both(series, medians, quantiles(away, {c: {"d": 0.5} for c in series.values}))
+
+        def edges(at: Any, c: str) -> tuple:
+            m, d = at(c, "m"), at(c, "d") * MAD_SCALE
+            return None if low is None else m - low * d, None if high is None else m + high * d
+
+        self.fences_ = fenced(series, found, edges, "m")
 
 
 class EsdThreshold(BaseThreshold):

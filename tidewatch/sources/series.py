@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.functions.durations import parse_duration
+
 TIME = "t_ns"
 TEMPORAL = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
@@ -149,6 +151,23 @@ class Series:
     def persisted(self) -> Series:
         return replace(self, df=self.df.persist())
 
+    # one long series over many tasks
+
+    def in_chunks(self, chunk: Any, before: Any = 0, after: Any = 0) -> Series:
+        """The series cut into pieces of time, each with copies of the rows up to ``before`` and ``after`` it.
+
+        Each piece is a series of its own, so that windows no longer than these margins give the same values as over the
+        whole, but in as many tasks as there are pieces.  :meth:`out_of_chunks` drops the copies."""
+        size, low, high = (x if isinstance(x, int) else parse_duration(x) for x in (chunk, before, after))
+        t = F.col(TIME)
+        pieces = F.sequence(F.floor((t - high) / size), F.floor((t + low) / size))
+        return Series(self.df.withColumn("chunk", F.explode(pieces)), self.values, (*self.keys, "chunk"), self.carry)
+
+    def out_of_chunks(self, chunk: Any) -> Series:
+        size = chunk if isinstance(chunk, int) else parse_duration(chunk)
+        own = self.df.where(F.col("chunk") == F.floor(F.col(TIME) / size)).drop("chunk")
+        return Series(own, self.values, tuple(k for k in self.keys if k != "chunk"), self.carry)
+
     # frequency
 
     def with_step(self, name: str = "__step") -> DataFrame:

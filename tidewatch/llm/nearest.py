@@ -94,37 +94,34 @@ def masks(most: int) -> np.ndarray:
 
 
 class Index:
-    """A block of entries: for every substring, the entries in order of its value."""
+    """A block of entries: for every substring, its values, which entries have each, and which value each entry has."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.order, self.values, self.first = [], [], []
+        self.values, self.order, self.first, self.which = [], [], [], []
         for s in range(codes.shape[1]):
-            order = np.argsort(codes[:, s], kind="stable")
-            values, first = np.unique(codes[order, s], return_index=True)
-            self.order.append(order)
+            values, which = np.unique(codes[:, s], return_inverse=True)
+            order = np.argsort(which, kind="stable")
             self.values.append(values)
-            self.first.append(np.r_[first, len(order)])
+            self.which.append(which)
+            self.order.append(order)
+            self.first.append(np.searchsorted(which[order], np.arange(len(values) + 1)))
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Entries whose codes are within ``radius`` of ``code``: all of them, by the pigeonhole principle."""
-        m = len(self.order)
-        least, more = divmod(radius, m)
+        least, more = divmod(radius, len(self.values))
         seen = np.zeros(len(self.codes), bool)
-        for s in range(m):
+        for s, values in enumerate(self.values):
             reach = least if s <= more else least - 1
             if reach < 0:
                 continue
-            values = self.values[s]
             if reach >= 4 or len(masks(reach)) > len(values):  # fewer values than probes: look at the values
-                hit = np.flatnonzero(np.bitwise_count(values ^ code[s]) <= reach)
-            else:
-                probes = masks(reach) ^ code[s]
-                at = np.minimum(np.searchsorted(values, probes), len(values) - 1)
-                hit = at[values[at] == probes]
-            first = self.first[s]
-            for i in hit:
-                seen[self.order[s][first[i] : first[i + 1]]] = True
+                seen |= (np.bitwise_count(values ^ code[s]) <= reach)[self.which[s]]
+                continue
+            probes = masks(reach) ^ code[s]
+            at = np.minimum(np.searchsorted(values, probes), len(values) - 1)
+            for i in at[values[at] == probes]:
+                seen[self.order[s][self.first[s][i] : self.first[s][i + 1]]] = True
         found = np.flatnonzero(seen)
         return found[distances(code, self.codes[found]) <= radius]
 

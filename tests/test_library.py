@@ -427,3 +427,31 @@ def test_online_tails(spark, tmp_path):
     q.awaitTermination(120)
     out = {(r.k, r.t_ns): r.label for r in spark.table("tails").collect()}
     assert [out["a", i] for i in range(4)] == [out["b", i] for i in range(4)] == [0.0, 1.0, None, 0.0]
+
+
+def test_benchmark_files_from_a_local_copy(spark, tmp_path):
+    (tmp_path / "labels").mkdir()
+    (tmp_path / "data" / "set").mkdir(parents=True)
+    (tmp_path / "labels" / "combined_windows.json").write_text(json.dumps({"set/one.csv": [["2024-01-01 01:00:00", "2024-01-01 02:00:00"]], "set/two.csv": []}))
+    (tmp_path / "data" / "set" / "one.csv").write_text("timestamp,value\n2024-01-01 00:00:00,1.5\n2024-01-01 01:00:00,9\n2024-01-01 02:00:00,\n")
+    assert tw.nab_names(str(tmp_path)) == ["set/one.csv", "set/two.csv"]
+    d = tw.load_nab(spark, "one", cache_dir=str(tmp_path))
+    assert got(d.data) == [1.5, 9, N] and d.events.n_events == 1 and got(d.labels) == [0, 1, 1]
+    with pytest.raises(KeyError):
+        tw.load_nab(spark, "none", cache_dir=str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        tw.nab_names(str(tmp_path / "empty"))
+
+
+def test_plot_needs_its_library(spark):
+    try:
+        import matplotlib  # noqa: F401
+    except ImportError:
+        with pytest.raises(ImportError, match="matplotlib"):
+            tw.plot(series(spark, [1, 2]))
+
+
+def test_every_query_has_an_entry():
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) >= 114

@@ -103,6 +103,8 @@ from tidewatch.sources.synthetic import Dataset, make_series
 from tidewatch.streaming.stream import Stream
 from tidewatch.streaming.tails import online_pot
 
+TimeSeries = Series
+
 __all__ = [
     "AGGREGATIONS",
     "AndAggregator",
@@ -189,6 +191,7 @@ __all__ = [
     "Stream",
     "SumAll",
     "ThresholdDetector",
+    "TimeSeries",
     "TransformerScorer",
     "VolatilityShiftDetector",
     "VoteAggregator",

@@ -84,6 +84,8 @@ class Series:
             out = out.withColumn("__turn", turn).where("__turn = 1")
         return cls(out.select(*keys, TIME, *names), tuple(names), tuple(keys))
 
+    from_any = of
+
     @classmethod
     def from_arrays(cls, spark: SparkSession, time: Iterable, values: Any, columns: Sequence[str] | None = None) -> Series:
         """A series of arrays on the driver; ``time`` holds datetimes or nanoseconds.  Equal times: the first stays."""

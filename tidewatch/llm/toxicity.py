@@ -11,7 +11,6 @@ is summed, and a logistic curve turns the sum into a probability.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -20,13 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.arrow import bounded_batches, map_rows
+from tidewatch.llm.store import staged
 
 #: Labelled documents of each class that the model is fitted on, at most (by hash of the id).
 SAMPLE = 12_000
 #: Pseudo-documents of the prior, standard errors that a feature needs, cost of a word without evidence.
 PRIOR, SIGNIFICANT, GAP = 50.0, 4.0, 0.1
 #: Features that the model keeps, by significance; word scores that a task keeps.
-FEATURES, KEPT = 50_000, 500_000
+FEATURES, KEPT = 20_000, 500_000
 #: Code points of the beginnings of words.
 BEGINNINGS = range(4, 9)
 #: Feature counts that a task gathers before it hands them on.
@@ -104,16 +104,14 @@ def maximal_segments(hits: list[tuple[int, float]], gap: float) -> list[tuple[in
     return [(a, b, r - left) for a, b, left, r, _ in stack]
 
 
-def log_odds(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """Features (feature, toxic documents, clean documents) -> log-odds of those that lean to toxic significantly."""
-    found = []
-    for f, a, c in counts:
-        p = PRIOR * (a + c) / max(1, toxic + clean)
-        odds = math.log((a + p) / (toxic + PRIOR + 1 - a - p)) - math.log((c + p) / (clean + PRIOR + 1 - c - p))
-        z = odds / math.sqrt(1 / (a + p) + 1 / (c + p))
-        if z >= SIGNIFICANT:
-            found.append((z, f, odds))
-    return {f: odds for _, f, odds in sorted(found, key=lambda x: (-x[0], x[1]))[:FEATURES]}
+def log_odds(counts: DataFrame, toxic: int, clean: int) -> dict[str, float]:
+    """Features (f, toxic documents a, clean documents c) -> log-odds of those that lean to toxic significantly."""
+    a, c = F.col("a").cast("double"), F.col("c").cast("double")
+    p = F.lit(PRIOR) * (a + c) / float(max(1, toxic + clean))
+    odds = F.log((a + p) / (toxic + PRIOR + 1 - a - p)) - F.log((c + p) / (clean + PRIOR + 1 - c - p))
+    z = odds / F.sqrt(1 / (a + p) + 1 / (c + p))
+    rows = counts.select("f", odds.alias("odds"), z.alias("z")).where(F.col("z") >= SIGNIFICANT)
+    return {r.f: r.odds for r in rows.orderBy(F.desc("z"), "f").limit(FEATURES).select("f", "odds").collect()}
 
 
 def rate_of(histogram: dict[float, float], words: float, gap: float) -> float:
@@ -166,8 +164,8 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, sample: int) -> tu
     return texts, {c: 1 / s for c, s in share.items()}
 
 
-def feature_counts(texts: DataFrame) -> list[tuple[str, int, int]]:
-    """Features with the number of toxic and clean documents that have them, of those in three toxic ones or more."""
+def feature_counts(texts: DataFrame) -> DataFrame:
+    """Features ``f`` with the number of toxic documents ``a`` and clean ones ``c`` that have them."""
     bounded_batches(texts)
 
     def run(batches):  # noqa: ANN001, ANN202
@@ -187,9 +185,7 @@ def feature_counts(texts: DataFrame) -> list[tuple[str, int, int]]:
         yield flush()
 
     rows = texts.select("text", "toxic").mapInArrow(run, "f string, a long, c long")
-    rows = rows.groupBy("f").agg(F.sum("a").alias("a"), F.sum("c").alias("c")).where("a >= 3")
-    # those most often toxic come first; the bound is far above what can be significant in a sample of bounded size
-    return [tuple(r) for r in rows.orderBy(F.desc(F.col("a") / (F.col("a") + F.col("c"))), F.desc("a"), "f").limit(8 * FEATURES).collect()]
+    return rows.groupBy("f").agg(F.sum("a").alias("a"), F.sum("c").alias("c")).where("a >= 3")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
@@ -216,24 +212,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: int
 
         return run
 
-    seen = map_rows(texts, make, "n long, hits array<double>, found array<double>", ["text"], ["doc_id", "toxic"])
-    rows = seen.select("toxic", "n", "hits", "found").collect()  # of the bounded sample, scores only
-    counts: dict[float, float] = {}
-    total = 0.0
-    for r in rows:
-        if r.toxic == 0:
-            total += r.n
-            for s in r.hits:
-                counts[round(s, 3)] = counts.get(round(s, 3), 0) + 1
-    model.rate = rate_of(counts, max(total, 1.0), model.gap)
-    best = [(max(r.found), r.n) for r in rows if r.toxic == 0 and r.found]
+    seen = map_rows(texts, make, "n long, hits array<double>, found array<double>", ["text"], ["toxic"])
+    seen = staged(seen.select("toxic", "n", F.filter("hits", lambda x: x != 0).alias("hits"), "found"), "seen")
+    of_clean = seen.where("toxic = 0")
+    hits = of_clean.select(F.explode("hits").alias("s")).groupBy(F.round("s", 3).alias("s")).count().collect()
+    words = float(of_clean.agg(F.sum("n")).first()[0] or 1)
+    model.rate = rate_of({r.s: float(r["count"]) for r in hits}, words, model.gap)
+    rows = seen.where(F.size("found") > 0).select("toxic", "n", "found").collect()  # of the bounded sample, scores only
+    best = [max(r.found) for r in rows if r.toxic == 0]
     if best:
-        middle = float(np.median([s for s, _ in best]))
-        above = sum(s >= middle for s, _ in best)
-        model.constant = above / max(1e-12, sum(r.n for r in rows if r.toxic == 0) * math.exp(-model.rate * middle))
-    x = np.array([model.excess([(0, 0, s) for s in r.found], r.n) for r in rows])
-    y = np.array([float(r.toxic) for r in rows])
-    model.slope, model.offset = logistic(x, y, np.array([weight[r.toxic] for r in rows]))
+        middle = float(np.median(best))
+        model.constant = sum(s >= middle for s in best) / max(1e-12, words * math.exp(-model.rate * middle))
+    x = [model.excess([(0, 0, s) for s in r.found], r.n) for r in rows]
+    y, w = [float(r.toxic) for r in rows], [weight[r.toxic] for r in rows]
+    for c, n in sizes.items():  # documents without a segment have no excess
+        x.append(0.0)
+        y.append(float(c))
+        w.append(weight[c] * (n - sum(r.toxic == c for r in rows)))
+    model.slope, model.offset = logistic(np.array(x), np.array(y), np.array(w))
     return model
 
 

@@ -39,15 +39,15 @@ class Stream:
 
     def _probes(self, rows: Series, asked: DataFrame) -> Series:
         """``rows`` seen from each asked time: a series per probe."""
-        numbered = rows.df.withColumn("__row", F.row_number().over(rows.ordered))
-        at = numbered.join(asked.select(*rows.keys, F.col(TIME).alias("__at")), list(rows.keys) if rows.keys else F.lit(True)) if rows.keys else numbered.crossJoin(F.broadcast(asked.select(F.col(TIME).alias("__at"))))
-        seen = F.col(TIME) <= F.col("__at")
-        if self.span is not None:
-            at = at.where(seen & (F.col(TIME) >= F.col("__at") - self.span))
-        else:
-            back = F.row_number().over(Window.partitionBy(*rows.keys, "__at").orderBy(F.desc(TIME)))
-            at = at.where(seen).withColumn("__back", back).where(F.col("__back") <= self.history)
-        return Series(at.select(*rows.keys, F.col("__at").alias("probe"), TIME, *rows.values), rows.values, (*rows.keys, "probe"))
+        row = F.row_number().over(rows.ordered)
+        # how many rows that follow still see this one
+        reach = F.lit(self.history - 1) if self.span is None else F.count(F.lit(1)).over(rows.ordered.rangeBetween(0, self.span)).cast("int") - 1
+        numbered = rows.df.withColumn("__row", row).withColumn("__reach", reach)
+        probes = numbered.join(asked.select(*rows.axis), list(rows.axis), "left_semi")
+        probes = probes.select(*rows.keys, F.col("__row").alias("__probe"), F.col(TIME).alias("probe"))
+        seen = numbered.withColumn("__probe", F.explode(F.sequence(F.col("__row"), F.col("__row") + F.col("__reach"))))
+        at = seen.join(probes, [*rows.keys, "__probe"])
+        return Series(at.select(*rows.keys, "probe", TIME, *rows.values), rows.values, (*rows.keys, "probe"))
 
     def _answers(self, rows: Series, asked: DataFrame) -> Series:
         probes = self._probes(rows, asked)

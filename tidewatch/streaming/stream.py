@@ -90,6 +90,15 @@ class Stream:
         self.held = self._local(self._retained(rows))
         return self
 
+    @staticmethod
+    def _with_newest(rows: DataFrame, held: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        """``rows`` with the newest time held of their series, null for a series that is new."""
+        newest = held.groupBy(*keys).agg(F.max(TIME).alias("__newest"))
+        if keys:
+            return rows.join(newest, list(keys), "left")
+        found = newest.first()
+        return rows.withColumn("__newest", F.lit(found[0] if found else None).cast("long"))
+
     @staticmethod
     def _local(rows: Series) -> Series:
         """The bounded history as a table of its own, cut off from what it came from."""
@@ -104,8 +113,7 @@ class Stream:
         else:
             if set(rows.values) != set(self.held.values):
                 raise ValueError("new rows need the history's columns")
-            newest = self.held.df.groupBy(*rows.keys).agg(F.max(TIME).alias("__newest"))
-            late = rows.df.join(newest, list(rows.keys)) if rows.keys else rows.df.crossJoin(newest)
+            late = self._with_newest(rows.df, self.held.df, rows.keys)
             if late.where(F.col(TIME) <= F.col("__newest")).take(1):
                 raise ValueError("a row is not later than those before it")
             merged = Series(self.held.df.unionByName(rows.df), rows.values, rows.keys)
@@ -150,8 +158,7 @@ class Stream:
             merged, fresh = rows, rows.df
             if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
                 held = spark.read.schema(rows.df.schema).parquet(old)
-                newest = held.groupBy(*rows.keys).agg(F.max(TIME).alias("__newest"))
-                known = fresh.join(newest, list(rows.keys), "left") if rows.keys else fresh.crossJoin(newest)
+                known = self._with_newest(fresh, held, rows.keys)
                 is_late = F.coalesce(F.col(TIME) <= F.col("__newest"), F.lit(False))
                 if late == "raise":
                     checked = F.when(is_late, F.raise_error(F.lit("a row is not later than those before it")).cast("long")).otherwise(F.col(TIME))

@@ -185,17 +185,24 @@ def flattened(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "n", F.explode("sketches").alias("s")).select("node", "n", "s.band", "s.parts", "s.fold")
 
 
+def slimmed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes without their sketches, and what bounds need of these (node, n, band, p, fold); the whole is deleted."""
+    slim = staged(nodes.select("node", "print", "doc_id", "n"), "nodes")
+    bounds = staged(flattened(nodes).select("node", "n", "band", F.size("parts").alias("p"), "fold"), "bounds")
+    drop(nodes)
+    return slim, bounds
+
+
 def shared_parts(nodes: DataFrame) -> DataFrame:
     """``node, n, band, key, members``: the parts of sketches that several nodes have."""
     keyed = flattened(nodes).select("node", F.col("n").cast("int").alias("n"), "band", F.posexplode("parts").alias("pos", "part")).select("node", "n", "band", F.xxhash64("band", "pos", "part").alias("key"))
-    several = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    several = staged(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "several", large=True)
     return staged(keyed.join(several, "key"), "shared", large=True)
 
 
-def within_bounds(pairs: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
+def within_bounds(pairs: DataFrame, bounds: DataFrame, similar: int) -> DataFrame:
     """Of ``pairs`` (a, b, band) those whose sizes and folded sketches' Hamming distance allow a link."""
-    flat = flattened(nodes)
-    side = lambda x: flat.select(F.col("node").alias(x), "band", F.col("n").alias(f"n_{x}"), F.col("fold").alias(f"fold_{x}"))
+    side = lambda x: bounds.select(F.col("node").alias(x), "band", F.col("n").alias(f"n_{x}"), F.col("fold").alias(f"fold_{x}"))
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similar
     far = F.aggregate(
         F.zip_with("fold_a", "fold_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("long"), lambda s, x: s + x.cast("long")
@@ -204,23 +211,21 @@ def within_bounds(pairs: DataFrame, nodes: DataFrame, similar: int) -> DataFrame
     return met.where(fits & (far * (100 + similar) <= (F.col("n_a") + F.col("n_b")) * (100 - similar))).select("a", "b").distinct()
 
 
-def candidates(shared: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
+def candidates(shared: DataFrame, bounds: DataFrame, similar: int) -> DataFrame:
     """``shared`` (node, n, band, key, members, root) -> distinct pairs (a, b), a < b, of different roots that no bound
     tells apart."""
     some = shared.where(F.col("members") <= SMALL)
     one = some.select("key", "band", F.col("node").alias("a"), F.col("root").alias("root_a"))
     two = some.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
     met = one.join(two, "key").where("a < b AND root_a != root_b").groupBy("a", "b", "band").agg(F.count("*").alias("equal"))
-    # parts that many nodes share are compared in blocks; a pair may lack those parts here, so they count as equal
+    # a pair that also shares a part with many others is found in the blocks, so here `equal` counts all equal parts
     many = shared.where(F.col("members") > SMALL)
-    crowded = many.groupBy("node", "band").agg(F.count("*").alias("crowded")).withColumnRenamed("node", "a")
-    flat = flattened(nodes)
-    size = lambda x: flat.select(F.col("node").alias(x), "band", F.col("n").alias(f"n_{x}"), F.size("parts").alias(f"p_{x}"))
-    met = met.join(size("a"), ["a", "band"]).join(size("b"), ["b", "band"]).join(crowded, ["a", "band"], "left")
-    differing = F.col("p_a") - F.col("equal") - F.coalesce("crowded", F.lit(0))
+    size = lambda x: bounds.select(F.col("node").alias(x), "band", F.col("n").alias(f"n_{x}"), F.col("p").alias(f"p_{x}"))
+    met = met.join(size("a"), ["a", "band"]).join(size("b"), ["b", "band"])
+    differing = F.col("p_a") - F.col("equal")
     met = met.where(differing * (100 + similar) <= (F.col("n_a") + F.col("n_b")) * (100 - similar)).select("a", "b", "band")
     if many.take(1):
-        held = many.groupBy("node", "band").agg(F.collect_set("key").alias("keys")).join(flat.select("node", "band", "fold"), ["node", "band"])
+        held = many.groupBy("node", "band").agg(F.collect_set("key").alias("keys")).join(bounds.select("node", "band", "fold"), ["node", "band"])
         blocks = F.ceil(F.col("members") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         dealt = many.join(staged(held, "held"), ["node", "band"]).withColumn("blocks", blocks).withColumn("own", own)
@@ -231,7 +236,7 @@ def candidates(shared: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
             F.when(F.col("own") == F.col("other"), 2).when(first, 0).otherwise(1).alias("side"),
         )
         met = met.unionAll(near_in_blocks(dealt, similar)).distinct()
-    return within_bounds(met, nodes, similar)
+    return within_bounds(met, bounds, similar)
 
 
 def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, unique: bool) -> DataFrame:
@@ -288,22 +293,24 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int, similar: int
     return rows, nodes, not rows.groupBy("doc_id").count().where("count > 1").take(1)
 
 
-def every_link(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, similar: int, unique: bool) -> DataFrame:
-    """All links (a, b) between nodes."""
+def every_link(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, similar: int, unique: bool) -> tuple[DataFrame, DataFrame]:
+    """All links (a, b) between nodes; and the nodes without their sketches, for ``nodes`` is deleted."""
     shared = shared_parts(nodes).withColumn("root", F.col("node"))
-    pairs = staged(candidates(shared, nodes, similar), "pairs", large=True)
+    nodes, bounds = slimmed(nodes)
+    pairs = staged(candidates(shared, bounds, similar), "pairs", large=True)
     texts = texts_of(both_ends(pairs), nodes, docs, id_col, text_col, size, unique)
-    return staged(verified(pairs, texts, size, similar), "linked", large=True)
+    return staged(verified(pairs, texts, size, similar), "linked", large=True), nodes
 
 
-def spanning_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, similar: int, unique: bool) -> DataFrame:
-    """Links enough to connect whatever links connect.
+def spanning_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, similar: int, unique: bool) -> tuple[DataFrame, DataFrame]:
+    """Links enough to connect whatever links connect; and the nodes without their sketches, for ``nodes`` is deleted.
 
     First each node is compared with the one that it meets most often among its shared parts' centres, for several
     choices of centres; then, in the parts whose nodes still fall into several components, all pairs across components
     are.  A large group of near copies is mostly connected by then, and its pairs are never listed.
     """
     shared = shared_parts(nodes)
+    nodes, bounds = slimmed(nodes)
     fits = F.least("n", "m.n") * 100 >= F.greatest("n", "m.n") * similar
     stars = None
     for turn in range(STARS):
@@ -312,17 +319,20 @@ def spanning_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str
         star = star.groupBy("node", "band", F.col("m.node").alias("centre")).agg(F.count("*").alias("times"))
         star = star.groupBy("node", "band").agg(F.max_by("centre", F.struct("times", "centre")).alias("centre"))
         star = star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "band")
-        star = staged(within_bounds(star, nodes, similar), "star", large=True)
+        star = staged(within_bounds(staged(star, "met", large=True), bounds, similar), "star", large=True)
         stars = star if stars is None else stars.unionAll(star)
     stars = stars.distinct()
     texts = texts_of(both_ends(stars), nodes, docs, id_col, text_col, size, unique)
     links = staged(verified(stars, texts, size, similar), "linked", large=True)
+    drop(texts)
     rooted = shared.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
     mixed = staged(rooted.join(parts.select("key"), "key", "left_semi"), "mixed", large=True)
-    pairs = staged(candidates(mixed, nodes, similar), "pairs", large=True)
+    drop(shared)
+    pairs = staged(candidates(mixed, bounds, similar), "pairs", large=True)
+    drop(mixed)
     texts = texts_of(both_ends(pairs), nodes, docs, id_col, text_col, size, unique)
-    return links.unionAll(staged(verified(pairs, texts, size, similar), "linked", large=True))
+    return links.unionAll(staged(verified(pairs, texts, size, similar), "linked", large=True)), nodes
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similar: int = SIMILAR, count_links: bool = False) -> DataFrame:
@@ -336,7 +346,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told apart by 128-bit fingerprints and counted by 64-bit shingle hashes; links are decided on the shingles.
     """
     rows, nodes, unique = sets_of(docs, id_col, text_col, size, similar)
-    links = (every_link if count_links else spanning_links)(nodes, docs, id_col, text_col, size, similar, unique)
+    links, nodes = (every_link if count_links else spanning_links)(nodes, docs, id_col, text_col, size, similar, unique)
     roots = components(links)
     least = nodes.select("node", "doc_id")
     named = staged(roots.join(least, "node"), "roots")
@@ -357,7 +367,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Columns are as they were.  Rows with an empty set stay; where rows repeat under the smallest id, one stays.
     """
     rows, nodes, unique = sets_of(docs, id_col, text_col, size, similar)
-    roots = components(spanning_links(nodes, docs, id_col, text_col, size, similar, unique))
+    links, nodes = spanning_links(nodes, docs, id_col, text_col, size, similar, unique)
+    roots = components(links)
     named = staged(roots.join(nodes.select("node", "doc_id", "print"), "node"), "roots")
     least = named.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("least"))
     goes = named.join(least, "root").where("node != least.node").select("print")

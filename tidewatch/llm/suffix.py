@@ -19,11 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.arrow import bounded_batches, map_rows
+from tidewatch.llm.arrow import SLICE, bounded_batches, map_rows
 from tidewatch.llm.store import staged
 
 #: Bytes of a string that must not repeat; bytes of a gram.
@@ -31,6 +30,8 @@ LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
 #: Segments of a collection, at most, and those of one anchor in it.
 COLLECTION, CHUNK = 16_000, 8_192
+#: Bits of a block's size in which the transform's symbols are counted.
+BITS = 8
 #: Bytes beside an anchor, on one side or the other, that two segments with a common window must share.
 BESIDE = (LENGTH - GRAM) // 2
 ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -70,50 +71,70 @@ def runs(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return h[at[first]], at[first], first, np.diff(np.r_[first, len(at)])
 
 
-def as_long(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
 def bytes_of(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+#: Powers of an odd number and of its inverse, for hashes of segments; as many as a slice of a text has bytes.
+BASE = 0x9E3779B97F4A7C15
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of ``BASE`` and of its inverse, modulo 2**64."""
+    with np.errstate(over="ignore"):
+        up, down = (np.full(n, x, np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64)))
+        up[:1] = down[:1] = 1
+        return np.cumprod(up), np.cumprod(down)
+
+
+def hashes(b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of each segment [start, stop): a polynomial in its bytes, from sums over the text (segments are short, so
+    that its period does no harm), then mixed."""
+    up, down = powers(len(b))
+    with np.errstate(over="ignore"):
+        total = np.r_[np.uint64(0), np.cumsum(SYMBOLS[b] * up)]
+        return spread((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
+
+
 def anchors(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, mark, text) -> anchors' hashes ``a``, one row each."""
+    bounded_batches(docs)
 
-    def make():  # noqa: ANN202
-        def run(texts: list) -> dict:
-            out = []
-            for t in texts:
-                b = np.frombuffer(bytes_of(t), np.uint8)
-                out.append(runs(b)[0].view(np.int64) if len(b) >= LENGTH else [])
-            return {"a": out}
-
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                found = [np.zeros(0, np.uint64)]
+                for t in batch.column(0).slice(at, SLICE).to_pylist():
+                    b = np.frombuffer(bytes_of(t), np.uint8)
+                    if len(b) >= LENGTH:
+                        found.append(runs(b)[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["a"])
 
-    return map_rows(docs, make, "a array<long>", ["text"], []).select(F.explode("a").alias("a"))
+    return docs.select("text").mapInArrow(run, "a long")
 
 
 def segments(docs: DataFrame) -> DataFrame:
     """One row per run: ``doc_id, mark, a, lo, n, off, fp`` (first window, windows, the anchor's offset, segment's hash)."""
+    bounded_batches(docs)
+    names = ["doc_id", "mark", "a", "lo", "n", "off", "fp"]
 
-    def make():  # noqa: ANN202
-        def run(texts: list) -> dict:
-            out = []
-            for t in texts:
-                raw = bytes_of(t)
-                if len(raw) < LENGTH:
-                    out.append([])
-                    continue
-                a, at, first, n = runs(np.frombuffer(raw, np.uint8))
-                seg = [as_long(xxhash.xxh3_64_intdigest(raw[f : f + k + LENGTH - 1])) for f, k in zip(first.tolist(), n.tolist(), strict=True)]
-                out.append([{"a": x, "lo": f, "n": k, "off": o, "fp": s} for x, f, k, o, s in zip(a.view(np.int64).tolist(), first.tolist(), n.tolist(), (at - first).tolist(), seg, strict=True)])
-            return {"r": out}
-
-        return run
-
-    rows = map_rows(docs, make, "r array<struct<a: long, lo: int, n: int, off: int, fp: long>>", ["text"], ["doc_id", "mark"])
-    return rows.select("doc_id", "mark", F.explode("r").alias("r")).select("doc_id", "mark", "r.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in names]
+                for i, m, t in zip(*[part.column(k).to_pylist() for k in range(3)], strict=True):
+                    b = np.frombuffer(bytes_of(t), np.uint8)
+                    if len(b) < LENGTH:
+                        continue
+                    a, at, first, n = runs(b)
+                    fp = hashes(b, first, first + n + LENGTH - 1)
+                    for k, x in enumerate((np.full(len(a), i), np.full(len(a), m), a.view(np.int64), first, n, at - first, fp.view(np.int64))):
+                        found[k].append(x)
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), k) for x, k in zip(found, kinds, strict=True)], names=names)
+
+    return docs.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, a long, lo int, n int, off int, fp long")
 
 
 def suffix_places(parts: list[bytes]) -> list[np.ndarray]:
@@ -138,18 +159,23 @@ def suffix_places(parts: list[bytes]) -> list[np.ndarray]:
         back[i, : len(t)] = t[::-1]
     b, place, active = back[:, 0].copy(), np.arange(m), np.flatnonzero(length > 0)
 
-    def steps(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entries in order of their symbol, and where each symbol's entries begin."""
-        return np.argsort(b, kind="stable"), np.searchsorted(np.sort(b, kind="stable"), np.arange(int(code.max()) + 2))
+    kinds, low = int(code.max()) + 1, np.arange(1 << BITS)
+
+    def counted(b: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each ``symbol`` comes in ``b`` before its place ``at``, and how often all smaller ones of any kind."""
+        blocks = (len(b) >> BITS) + 1
+        held = np.bincount((np.arange(len(b)) >> BITS) * kinds + b, minlength=blocks * kinds).reshape(blocks, kinds)
+        ahead = np.cumsum(held, axis=0)
+        begin = np.r_[0, np.cumsum(ahead[-1])]
+        whole = np.pad(b, (0, (blocks << BITS) - len(b))).reshape(blocks, -1)
+        block = at >> BITS
+        inside = (whole[block] == symbol[:, None]) & (low < (at & ((1 << BITS) - 1))[:, None])
+        return (ahead - held)[block, symbol] + inside.sum(axis=1), begin
 
     for turn in range(widest):
-        order, begin = steps(b)
         symbol = back[active, turn]
-        new = np.empty(len(active), np.int64)
-        for c in np.unique(symbol):
-            own = symbol == c
-            new[own] = np.searchsorted(order[begin[c] : begin[c + 1]], place[active[own]]) + begin[c]
-        new += m - begin[1]  # the empty suffixes come first; entries without a symbol have no longer suffix
+        own, begin = counted(b, place[active], symbol)
+        new = own + begin[symbol] + m - begin[1]  # empty suffixes come first; entries without a symbol have none longer
         merged = np.empty(len(b) + len(active), kind)
         fresh = np.zeros(len(merged), bool)
         fresh[new] = True
@@ -159,9 +185,8 @@ def suffix_places(parts: list[bytes]) -> list[np.ndarray]:
         place[active] = new
         active = active[length[active] > turn + 1]
         # places of the parts that have ended move, but are never needed again
-    order, begin = steps(b)
     step = np.empty(len(b), np.int64)
-    step[order] = np.arange(len(b)) + m - begin[1]
+    step[np.argsort(b, kind="stable")] = np.arange(len(b)) + m - (b == 0).sum()
     found = np.empty((m, widest), np.int64)
     at = np.arange(m)
     for turn in range(widest):
@@ -225,7 +250,13 @@ def told_apart(rows: DataFrame) -> DataFrame:
                     for k, x in enumerate(pair):
                         if x is not None:
                             seen[k, x] = seen.get((k, x), 0) + 1
-                kept += [r for r, pair in zip(group, sides, strict=True) if any(x is not None and seen[k, x] > 1 for k, x in enumerate(pair))]
+                for r, pair in zip(group, sides, strict=True):
+                    left, right = (x is not None and seen[k, x] > 1 for k, x in enumerate(pair))
+                    # a side that is not shared ends less than BESIDE bytes from the anchor in any common window
+                    low = 0 if left else max(0, r[6] - BESIDE + 1)
+                    high = len(r[7]) if right else r[6] + GRAM + BESIDE - 1
+                    if (left or right) and len(seg := r[7][low:high]) >= LENGTH:
+                        kept.append((*r[:5], r[5] + low, r[6] - low, seg))
             else:
                 kept += group
         if kept:

@@ -4,7 +4,7 @@ A document is the set of its word n-grams.  For a band of set sizes, the n-grams
 bits, and each flips one bit of its part: a bit sketch of P words.  An n-gram that only one of two documents has changes
 one part at most, so the Hamming distance of two sketches, and the number of parts in which they differ, are lower bounds
 of the sets' symmetric difference.  Linked documents of sizes a and b differ in at most (1 - t) / (1 + t) * (a + b)
-n-grams; a band has one part more than that for its largest sizes.  So linked documents agree in a part (pigeonhole), and
+n-grams; a band has some parts more than that for its largest sizes.  So linked documents agree in a part (pigeonhole), and
 the join on equal parts finds every pair.  Then the number of equal parts, the Hamming distance and at last the texts
 decide.
 
@@ -36,6 +36,8 @@ BAND = 1.3
 SMALL, BLOCK = 32, 1024
 #: Times that a part's nodes are compared with one of them before pairs are.
 STARS = 2
+#: Parts that a band has beyond need, in hundredths, so that parts of no bits need not be joined on.
+SPARE = 15
 #: Words of the folded sketch that is carried into blocks.
 FOLD = 32
 #: Words whose hashes a task keeps.
@@ -57,16 +59,16 @@ def differ(total: int, similar: int) -> int:
     return total * (100 - similar) // (100 + similar)
 
 
-def entries(n: int, similar: int) -> list[tuple[int, int]]:
-    """(band, parts) of the joins that a set of size ``n`` takes part in: its own band's, and as the larger of a pair
+def entries(n: int, similar: int) -> list[tuple[int, int, int]]:
+    """(band, parts, most n-grams that differ) of the joins that a set of size ``n`` takes part in: its own band's, and as the larger of a pair
     that of the band below, if sizes there can link to it."""
     own = bisect_right(EDGES, n) - 1
     found = []
     for k in (own, own - 1):
         if k >= 0 and (k == own or n <= (EDGES[own] - 1) * 100 // similar):
             a = EDGES[k + 1] - 1
-            if (parts := differ(a + a * 100 // similar, similar) + 1) > 1:
-                found.append((k, parts))
+            if (most := differ(a + a * 100 // similar, similar)) > 0:
+                found.append((k, most + 1 + -(-SPARE * (most + 1) // 100), most))
     return found
 
 
@@ -128,14 +130,15 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, size: int, similar: in
                 h = shingles(words_of(text), kept, size)
                 out["n"].append(len(h))
                 out["print"].append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
-                found = [(k, sketch(h, p)) for k, p in entries(len(h), similar)] if len(h) else []
-                out["sketches"].append([{"band": k, "parts": x, "fold": folded(x)} for k, x in found])
+                found = [(k, sketch(h, p), d) for k, p, d in entries(len(h), similar)] if len(h) else []
+                # a part of no bits tells little; with more other parts than can differ, a partner agrees in one of those
+                out["sketches"].append([{"band": k, "parts": x, "fold": folded(x), "zeros": bool((x != 0).sum() <= d)} for k, x, d in found])
             return out
 
         return run
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_rows(rows, make, "n long, print binary, sketches array<struct<band: int, parts: array<long>, fold: array<long>>>", ["text"], ["doc_id"])
+    return map_rows(rows, make, "n long, print binary, sketches array<struct<band: int, parts: array<long>, fold: array<long>, zeros: boolean>>", ["text"], ["doc_id"])
 
 
 def near_in_blocks(rows: DataFrame, similar: int) -> DataFrame:
@@ -182,20 +185,22 @@ def near_in_blocks(rows: DataFrame, similar: int) -> DataFrame:
 
 
 def flattened(nodes: DataFrame) -> DataFrame:
-    return nodes.select("node", "n", F.explode("sketches").alias("s")).select("node", "n", "s.band", "s.parts", "s.fold")
+    return nodes.select("node", "n", F.explode("sketches").alias("s")).select("node", "n", "s.band", "s.parts", "s.fold", "s.zeros")
 
 
 def slimmed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes without their sketches, and what bounds need of these (node, n, band, p, fold); the whole is deleted."""
+    """The nodes without their sketches, and what bounds need of these (node, n, band, p, z, fold); the whole is deleted."""
+    silent = F.when(F.col("zeros"), 0).otherwise(F.size(F.filter("parts", lambda x: x == 0)))  # parts that are no keys
     slim = staged(nodes.select("node", "print", "doc_id", "n"), "nodes")
-    bounds = staged(flattened(nodes).select("node", "n", "band", F.size("parts").alias("p"), "fold"), "bounds")
+    bounds = staged(flattened(nodes).select("node", "n", "band", F.size("parts").alias("p"), "fold", silent.alias("z")), "bounds")
     drop(nodes)
     return slim, bounds
 
 
 def shared_parts(nodes: DataFrame) -> DataFrame:
     """``node, n, band, key, members``: the parts of sketches that several nodes have."""
-    keyed = flattened(nodes).select("node", F.col("n").cast("int").alias("n"), "band", F.posexplode("parts").alias("pos", "part")).select("node", "n", "band", F.xxhash64("band", "pos", "part").alias("key"))
+    keyed = flattened(nodes).select("node", F.col("n").cast("int").alias("n"), "band", "zeros", F.posexplode("parts").alias("pos", "part"))
+    keyed = keyed.where("zeros OR part != 0").select("node", "n", "band", F.xxhash64("band", "pos", "part").alias("key"))
     several = staged(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "several", large=True)
     return staged(keyed.join(several, "key"), "shared", large=True)
 
@@ -220,9 +225,9 @@ def candidates(shared: DataFrame, bounds: DataFrame, similar: int) -> DataFrame:
     met = one.join(two, "key").where("a < b AND root_a != root_b").groupBy("a", "b", "band").agg(F.count("*").alias("equal"))
     # a pair that also shares a part with many others is found in the blocks, so here `equal` counts all equal parts
     many = shared.where(F.col("members") > SMALL)
-    size = lambda x: bounds.select(F.col("node").alias(x), "band", F.col("n").alias(f"n_{x}"), F.col("p").alias(f"p_{x}"))
+    size = lambda x: bounds.select(F.col("node").alias(x), "band", F.col("n").alias(f"n_{x}"), F.col("p").alias(f"p_{x}"), F.col("z").alias(f"z_{x}"))
     met = met.join(size("a"), ["a", "band"]).join(size("b"), ["b", "band"])
-    differing = F.col("p_a") - F.col("equal")
+    differing = F.col("p_a") - F.col("equal") - F.least("z_a", "z_b")  # parts of no bits may agree as well
     met = met.where(differing * (100 + similar) <= (F.col("n_a") + F.col("n_b")) * (100 - similar)).select("a", "b", "band")
     if many.take(1):
         held = many.groupBy("node", "band").agg(F.collect_set("key").alias("keys")).join(bounds.select("node", "band", "fold"), ["node", "band"])

@@ -110,3 +110,28 @@ def test_filter_keeps_one_of_each_group(spark, monkeypatch):
     again = ngram.drop_near_copies(docs.unionAll(docs.where("text RLIKE '[^ \\t\\n]'")), size=3, similar=90)
     assert sorted(r.doc_id for r in again.collect()) == sorted(d for d, n, c in brute(rows) if d == c)
     assert ngram.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_many_short_sets_of_few_parts(spark):
+    rng = random.Random(11)
+    texts = []
+    for g in range(150):
+        base = [f"g{g}x{i}" for i in range(rng.randrange(8, 40))]
+        texts += [" ".join(base[: len(base) - cut] + [f"e{g}y{i}" for i in range(more)]) for cut, more in ((0, 0), (0, 1), (1, 0), (0, 2), (1, 1))]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [shingle_set(t, 5) for t in texts]
+    near = lambda x, y: x != y and 100 * len(x & y) >= 80 * len(x | y)
+    group = lambda i: range(i - i % 5, i - i % 5 + 5)  # words of a group are its own
+
+    _, nodes, _ = ngram.sets_of(docs, "doc_id", "text", 5, 80)
+    doc = {r.node: r.doc_id for r in nodes.collect()}
+    shared = ngram.shared_parts(nodes).selectExpr("*", "node AS root")
+    _, bounds = ngram.slimmed(nodes)
+    found = {tuple(sorted((doc[r.a], doc[r.b]))) for r in ngram.candidates(shared, bounds, 80).collect()}
+    want = {(j, i) for i in doc.values() for j in group(i) if j < i and j in doc.values() and near(sets[i], sets[j])}
+    assert len(want) > 500 and not want - found
+
+    out = ngram.near_groups(docs, size=5, similar=80, count_links=True).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(rows, 5, 80)
+    assert all(r.n_links == len({frozenset(sets[j]) for j in group(r.doc_id) if near(sets[r.doc_id], sets[j])}) for r in out)

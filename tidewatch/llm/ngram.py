@@ -189,10 +189,10 @@ def flattened(nodes: DataFrame) -> DataFrame:
 
 
 def slimmed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes without their sketches, and what bounds need of these (node, n, band, p, z, fold); the whole is deleted."""
-    silent = F.when(F.col("zeros"), 0).otherwise(F.size(F.filter("parts", lambda x: x == 0)))  # parts that are no keys
+    """The nodes without their sketches, and what bounds need of these (node, n, band, p, z, zeros, fold); the whole is deleted."""
+    empty = F.size(F.filter("parts", lambda x: x == 0))
     slim = staged(nodes.select("node", "print", "doc_id", "n"), "nodes")
-    bounds = staged(flattened(nodes).select("node", "n", "band", F.size("parts").alias("p"), "fold", silent.alias("z")), "bounds")
+    bounds = staged(flattened(nodes).select("node", "n", "band", F.size("parts").alias("p"), "fold", "zeros", empty.alias("z")), "bounds")
     drop(nodes)
     return slim, bounds
 
@@ -225,9 +225,10 @@ def candidates(shared: DataFrame, bounds: DataFrame, similar: int) -> DataFrame:
     met = one.join(two, "key").where("a < b AND root_a != root_b").groupBy("a", "b", "band").agg(F.count("*").alias("equal"))
     # a pair that also shares a part with many others is found in the blocks, so here `equal` counts all equal parts
     many = shared.where(F.col("members") > SMALL)
-    size = lambda x: bounds.select(F.col("node").alias(x), "band", F.col("n").alias(f"n_{x}"), F.col("p").alias(f"p_{x}"), F.col("z").alias(f"z_{x}"))
+    size = lambda x: bounds.select(F.col("node").alias(x), "band", *(F.col(c).alias(f"{c}_{x}") for c in ("n", "p", "z", "zeros")))
     met = met.join(size("a"), ["a", "band"]).join(size("b"), ["b", "band"])
-    differing = F.col("p_a") - F.col("equal") - F.least("z_a", "z_b")  # parts of no bits may agree as well
+    # parts of no bits may agree as well; `equal` has those only if both nodes are keyed on them
+    differing = F.col("p_a") - F.col("equal") - F.when(F.col("zeros_a") & F.col("zeros_b"), 0).otherwise(F.least("z_a", "z_b"))
     met = met.where(differing * (100 + similar) <= (F.col("n_a") + F.col("n_b")) * (100 - similar)).select("a", "b", "band")
     if many.take(1):
         held = many.groupBy("node", "band").agg(F.collect_set("key").alias("keys")).join(bounds.select("node", "band", "fold"), ["node", "band"])

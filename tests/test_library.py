@@ -455,3 +455,29 @@ def test_every_query_has_an_entry():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) >= 114
+
+
+def events_folder(spark, folder, counts):
+    """A table of events with so many of them in each hour."""
+    rows = [(j, int(pd.Timestamp("2024-01-01").timestamp()) + 3600 * i + j % 3600, "a", float(i % 13 + j % 5)) for i, n in enumerate(counts) for j in range(n)]
+    df = spark.createDataFrame(rows, "event_id long, s long, event_type string, value double")
+    df.select("event_id", F.timestamp_seconds("s").alias("ts"), "event_type", "value").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_query_streams_every_hour(spark, tmp_path, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    from tidewatch import queries
+
+    counts = [5 + i % 3 for i in range(90)]
+    counts[40] = 60  # before the newest day
+    sf, answers, update = events_folder(spark, tmp_path, counts), [], tw.Stream.update_many
+    monkeypatch.setattr(tw.Stream, "update_many", lambda self, data: (answers.append(update(self, data)), answers[-1])[1])
+    out = queries.QUERIES["stream_of_spikes"](spark, sf).collect()
+    con = duckdb.connect()
+    con.sql(f"SET TimeZone = 'UTC'; CREATE VIEW events AS SELECT * REPLACE (ts::TIMESTAMP AS ts) FROM '{sf}/events.parquet/*.parquet'")
+    want = dict(con.sql(queries.ORACLES["spike_labels"]).fetchall())
+    streamed = [(r.t_ns, r.n) for a in answers for r in a.df.collect()]
+    assert len(streamed) == len(want) == 90 and dict(streamed) == want
+    assert sum(v == 1.0 for v in want.values()) >= 1
+    assert {r.t_ns: r.n for r in out} == dict(con.sql(queries.ORACLES["stream_of_spikes"]).fetchall())

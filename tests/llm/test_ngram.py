@@ -52,16 +52,16 @@ def corpus(seed=1, groups=12, copies=12):
     return list(zip(ids, texts, strict=True))
 
 
-@pytest.mark.parametrize(("small", "block"), [(32, 1024), (3, 4)])
-def test_groups_against_brute_force(spark, monkeypatch, small, block):
-    monkeypatch.setattr(ngram, "SMALL", small)
+@pytest.mark.parametrize(("stars", "block"), [(2, 1024), (0, 4)])
+def test_groups_against_brute_force(spark, monkeypatch, stars, block):
+    monkeypatch.setattr(ngram, "STARS", stars)
     monkeypatch.setattr(ngram, "BLOCK", block)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 1, "p") for i, t in rows], "doc_id long, text string, n int, print string")
     want = brute(rows)
     out = ngram.near_groups(docs).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == want
-    if small > 3:
+    if stars:
         return
     out = ngram.near_groups(docs, count_links=True).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == want
@@ -100,7 +100,6 @@ def test_components_of_long_chains_and_stars(spark):
 
 
 def test_filter_keeps_one_of_each_group(spark, monkeypatch):
-    monkeypatch.setattr(ngram, "SMALL", 3)
     monkeypatch.setattr(ngram, "BLOCK", 4)
     rows = corpus(seed=3)
     docs = spark.createDataFrame([(i, t, "p") for i, t in rows], "doc_id long, text string, print string")
@@ -126,12 +125,27 @@ def test_many_short_sets_of_few_parts(spark):
 
     _, nodes, _ = ngram.sets_of(docs, "doc_id", "text", 5, 80)
     doc = {r.node: r.doc_id for r in nodes.collect()}
-    shared = ngram.shared_parts(nodes).selectExpr("*", "node AS root")
+    shared = ngram.shared_parts(nodes)
     _, bounds = ngram.slimmed(nodes)
-    found = {tuple(sorted((doc[r.a], doc[r.b]))) for r in ngram.candidates(shared, bounds, 80).collect()}
+    found = {tuple(sorted((doc[r.a], doc[r.b]))) for r in ngram.candidates(shared, bounds, 80, every=True).collect()}
     want = {(j, i) for i in doc.values() for j in group(i) if j < i and j in doc.values() and near(sets[i], sets[j])}
     assert len(want) > 500 and not want - found
 
     out = ngram.near_groups(docs, size=5, similar=80, count_links=True).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(rows, 5, 80)
     assert all(r.n_links == len({frozenset(sets[j]) for j in group(r.doc_id) if near(sets[r.doc_id], sets[j])}) for r in out)
+
+
+def test_large_groups_of_near_copies(spark):
+    """Copies of one text that are near it but not near each other, and a chain of such groups: no pairs are listed."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(300)]
+    texts = [" ".join(base)]
+    for k in range(700):
+        w = base[:]
+        for at in rng.sample(range(0, 300, 4), 4):
+            w[at] = f"c{k}x{at}"
+        texts.append(" ".join(w))
+    rows = [(3 * i + 1, t) for i, t in enumerate(texts)]
+    out = ngram.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == [(3 * i + 1, 298, 1) for i in range(len(texts))]

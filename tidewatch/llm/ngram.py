@@ -5,26 +5,25 @@ bits, and each flips one bit of its part: a bit sketch of P words.  An n-gram th
 one part at most, so the Hamming distance of two sketches, and the number of parts in which they differ, are lower bounds
 of the sets' symmetric difference.  Linked documents of sizes a and b differ in at most (1 - t) / (1 + t) * (a + b)
 n-grams; a band has some parts more than that for its largest sizes.  So linked documents agree in a part (pigeonhole), and
-the join on equal parts finds every pair.  Then the number of equal parts, the Hamming distance and at last the texts
-decide.
+the join on equal parts finds every pair.  Then the Hamming distance and at last the texts decide.
 
-Equal sets are one node from the start.  A part's value that more than ``SMALL`` nodes share is compared inside tasks,
-in blocks, and only the pairs within the Hamming bound leave them; so no group is ever spelled out in pairs.
+Equal sets are one node from the start.  For components, the nodes that share a part are first compared with one of them,
+the one that shares most parts with others, and then with the one that does so of those left over.  Only what such stars
+leave apart is joined pair by pair, and there the nodes of a part's largest component are not compared with each other.
+The bound is part of the join's condition, so pairs that it tells apart never leave the join.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.arrow import bounded_batches, map_rows
+from tidewatch.llm.arrow import map_rows
 from tidewatch.llm.links import components
 from tidewatch.llm.store import drop, staged
 
@@ -32,16 +31,16 @@ from tidewatch.llm.store import drop, staged
 WORDS, SIMILAR = 3, 90
 #: Ratio of the sizes that bound a band.
 BAND = 1.3
-#: Nodes that share a part before they are compared inside tasks; nodes of a block there.
-SMALL, BLOCK = 32, 1024
+#: Nodes of a part that meet the rest of it in one task at most.
+BLOCK = 2048
 #: Times that a part's nodes are compared with one of them before pairs are.
 STARS = 2
 #: Parts that a band has beyond need, in hundredths, so that parts of no bits need not be joined on.
 SPARE = 15
-#: Words of the folded sketch that is carried into blocks.
-FOLD = 32
-#: Words whose hashes a task keeps.
-KEPT = 500_000
+#: Words of the folded sketch that bounds are taken from.
+FOLD = 16
+#: Bytes of the words whose hashes a task keeps.
+KEPT = 40_000_000
 
 
 def bands(largest: int = 1 << 40) -> list[int]:
@@ -73,9 +72,15 @@ def entries(n: int, similar: int) -> list[tuple[int, int, int]]:
 
 
 class Hashes(dict):
+    """Hashes of words; fills itself, and starts afresh when the words take too many bytes."""
+
+    room = KEPT
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT:
+        self.room -= len(word) + 120
+        if self.room < 0:
             self.clear()
+            self.room = KEPT
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
@@ -141,108 +146,90 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, size: int, similar: in
     return map_rows(rows, make, "n long, print binary, sketches array<struct<band: int, parts: array<long>, fold: array<long>, zeros: boolean>>", ["text"], ["doc_id"])
 
 
-def near_in_blocks(rows: DataFrame, similar: int) -> DataFrame:
-    """``rows`` (key, band, block_a, block_b, side, node, n, fold, root, keys), a group per (key, band, block_a, block_b)
-    -> pairs (a, b, band) of different roots whose folded sketches are within the bound.
-
-    Groups are of bounded size and come one after another in sorted partitions.  ``keys`` are all such keys of the node:
-    a pair is told only in the smallest that both have.
-    """
-    bounded_batches(rows)
-
-    def pairs(group: list[tuple]) -> pa.RecordBatch:
-        key, band = group[0][:2]
-        side, node, n, root = (np.array([g[i] for g in group]) for i in (4, 5, 6, 8))
-        fold = np.array([g[7] for g in group], np.int64).view(np.uint64)
-        right = np.flatnonzero(side != 0)
-        a, b = [], []
-        for i in np.flatnonzero(side != 1):
-            j = right[node[right] > node[i]] if (side[i] == 2) else right
-            j = j[(root[j] != root[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * similar)]
-            if len(j):
-                far = np.bitwise_count(fold[j] ^ fold[i]).sum(axis=1, dtype=np.int64)
-                own = set(group[i][9])
-                for x in j[far * (100 + similar) <= (n[j] + n[i]) * (100 - similar)].tolist():
-                    if min(own.intersection(group[x][9])) == key:
-                        a.append(min(node[i], node[x]))
-                        b.append(max(node[i], node[x]))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([band] * len(a), pa.int32())], names=["a", "b", "band"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if group and row[:4] != group[0][:4]:
-                    yield pairs(group)
-                    group = []
-                group.append(row)
-        if group:
-            yield pairs(group)
-
-    rows = rows.select("key", "band", "block_a", "block_b", "side", "node", "n", "fold", "root", "keys")
-    group_of = ["key", "band", "block_a", "block_b"]
-    return rows.repartition(*group_of).sortWithinPartitions(*group_of).mapInArrow(run, "a long, b long, band int")
-
-
 def flattened(nodes: DataFrame) -> DataFrame:
-    return nodes.select("node", "n", F.explode("sketches").alias("s")).select("node", "n", "s.band", "s.parts", "s.fold", "s.zeros")
+    return nodes.select("node", "n", F.explode("sketches").alias("s")).select("node", F.col("n").cast("int").alias("n"), "s.band", "s.parts", "s.fold", "s.zeros")
 
 
 def slimmed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes without their sketches, and what bounds need of these (node, n, band, p, z, zeros, fold); the whole is deleted."""
-    empty = F.size(F.filter("parts", lambda x: x == 0))
+    """The nodes without their sketches, and what bounds need of these (node, n, band, fold); the whole is deleted."""
     slim = staged(nodes.select("node", "print", "doc_id", "n"), "nodes")
-    bounds = staged(flattened(nodes).select("node", "n", "band", F.size("parts").alias("p"), "fold", "zeros", empty.alias("z")), "bounds")
+    bounds = staged(flattened(nodes).select("node", "n", "band", "fold"), "bounds")
     drop(nodes)
     return slim, bounds
 
 
 def shared_parts(nodes: DataFrame) -> DataFrame:
-    """``node, n, band, key, members``: the parts of sketches that several nodes have."""
-    keyed = flattened(nodes).select("node", F.col("n").cast("int").alias("n"), "band", "zeros", F.posexplode("parts").alias("pos", "part"))
+    """Staged ``node, n, band, key, members, known, root``: the parts of sketches that several nodes have, how many have each,
+    and the sum of that over the node's parts; every node is its own root."""
+    keyed = flattened(nodes).select("node", "n", "band", "zeros", F.posexplode("parts").alias("pos", "part"))
     keyed = keyed.where("zeros OR part != 0").select("node", "n", "band", F.xxhash64("band", "pos", "part").alias("key"))
     several = staged(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "several", large=True)
-    return staged(keyed.join(several, "key"), "shared", large=True)
+    shared = staged(keyed.join(several, "key"), "shared", large=True)
+    known = shared.groupBy("node", "band").agg(F.sum("members").alias("known"))
+    out = staged(shared.join(known, ["node", "band"]).withColumn("root", F.col("node")), "known", large=True)
+    drop(several)
+    drop(shared)
+    return out
 
 
-def within_bounds(pairs: DataFrame, bounds: DataFrame, similar: int) -> DataFrame:
-    """Of ``pairs`` (a, b, band) those whose sizes and folded sketches' Hamming distance allow a link."""
-    side = lambda x: bounds.select(F.col("node").alias(x), "band", F.col("n").alias(f"n_{x}"), F.col("fold").alias(f"fold_{x}"))
+def allowed(similar: int) -> Column:
+    """Whether sizes and the Hamming distance of folded sketches of ``a`` and ``b`` allow a link."""
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similar
-    far = F.aggregate(
-        F.zip_with("fold_a", "fold_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("long"), lambda s, x: s + x.cast("long")
-    )
-    met = pairs.join(side("a"), ["a", "band"]).join(side("b"), ["b", "band"])
-    return met.where(fits & (far * (100 + similar) <= (F.col("n_a") + F.col("n_b")) * (100 - similar))).select("a", "b").distinct()
-
-
-def candidates(shared: DataFrame, bounds: DataFrame, similar: int) -> DataFrame:
-    """``shared`` (node, n, band, key, members, root) -> distinct pairs (a, b), a < b, of different roots that no bound
-    tells apart."""
-    some = shared.where(F.col("members") <= SMALL)
-    one = some.select("key", "band", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    two = some.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    met = one.join(two, "key").where("a < b AND root_a != root_b").groupBy("a", "b", "band").agg(F.count("*").alias("equal"))
-    # a pair that also shares a part with many others is found in the blocks, so here `equal` counts all equal parts
-    many = shared.where(F.col("members") > SMALL)
-    size = lambda x: bounds.select(F.col("node").alias(x), "band", *(F.col(c).alias(f"{c}_{x}") for c in ("n", "p", "z", "zeros")))
-    met = met.join(size("a"), ["a", "band"]).join(size("b"), ["b", "band"])
-    # parts of no bits may agree as well; `equal` has those only if both nodes are keyed on them
-    differing = F.col("p_a") - F.col("equal") - F.when(F.col("zeros_a") & F.col("zeros_b"), 0).otherwise(F.least("z_a", "z_b"))
-    met = met.where(differing * (100 + similar) <= (F.col("n_a") + F.col("n_b")) * (100 - similar)).select("a", "b", "band")
-    if many.take(1):
-        held = many.groupBy("node", "band").agg(F.collect_set("key").alias("keys")).join(bounds.select("node", "band", "fold"), ["node", "band"])
-        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        dealt = many.join(staged(held, "held"), ["node", "band"]).withColumn("blocks", blocks).withColumn("own", own)
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        first = F.col("own") <= F.col("other")
-        dealt = dealt.select(
-            "key", "band", "node", "n", "fold", "root", "keys", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"),
-            F.when(F.col("own") == F.col("other"), 2).when(first, 0).otherwise(1).alias("side"),
-        )
-        met = met.unionAll(near_in_blocks(dealt, similar)).distinct()
-    return within_bounds(met, bounds, similar)
+    far = sum((F.bit_count(F.col("fold_a")[i].bitwiseXOR(F.col("fold_b")[i])) for i in range(FOLD)), F.lit(0))
+    return fits & (far * (100 + similar) <= (F.col("n_a") + F.col("n_b")) * (100 - similar))
+
+
+def side(rows: DataFrame, x: str, *more: str) -> DataFrame:
+    return rows.select(*more, F.col("node").alias(x), "band", F.col("n").alias(f"n_{x}"), F.col("fold").alias(f"fold_{x}"))
+
+
+def within_bounds(pairs: DataFrame, bounds: DataFrame, similar: int) -> DataFrame:
+    """Of ``pairs`` (a, b, band) those that no bound tells apart."""
+    met = pairs.join(side(bounds, "a"), ["a", "band"]).join(side(bounds, "b"), ["b", "band"])
+    return met.where(allowed(similar)).select("a", "b").distinct()
+
+
+def candidates(shared: DataFrame, bounds: DataFrame, similar: int, every: bool = False) -> DataFrame:
+    """``shared`` (node, n, band, key, members, root) -> distinct pairs (a, b), a < b, of different roots that share a part
+    and that no bound tells apart; with ``every``, of different nodes.
+
+    Under each part, the nodes of its largest root meet only the others.  A part's nodes are dealt over blocks, and those
+    outside the largest root go to every block, so that no task gets a large part alone.
+    """
+    rows = shared.select("key", "node", "n", "band", "members", "root").join(bounds.select("node", "band", "fold"), ["node", "band"])
+    if every:
+        rows = rows.withColumn("largest", F.lit(None).cast("long"))
+    else:
+        roots = shared.groupBy("key", "root").agg(F.count("*").alias("times")).groupBy("key").agg(F.max_by("root", F.struct("times", "root")).alias("largest"))
+        rows = rows.join(roots, "key")
+    rows = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    inside = F.col("root").eqNullSafe(F.col("largest"))
+    one = side(rows.where(~inside).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "a", "key", "block", F.col("root").alias("root_a"))
+    two = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("inside", inside)
+    two = side(two, "b", "key", "block", F.col("root").alias("root_b"), "inside").drop("band")
+    told = (F.col("a") != F.col("b")) if every else (F.col("root_a") != F.col("root_b"))
+    met = one.join(two, (one["key"] == two["key"]) & (one["block"] == two["block"]) & told & (F.col("inside") | (F.col("a") < F.col("b"))) & allowed(similar))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def star(shared: DataFrame, bounds: DataFrame, similar: int, first: bool) -> DataFrame:
+    """``shared`` (node, n, band, key, known, root) -> pairs (a, b) that no bound tells apart: each node with the one that it
+    meets most often among its parts' centres.
+
+    A part's centre is the node that is known best; after the first time, the one of those outside its largest root.
+    """
+    if first:
+        able = shared
+    else:
+        roots = shared.groupBy("key", "root").agg(F.count("*").alias("times")).groupBy("key").agg(F.max_by("root", F.struct("times", "root")).alias("largest"))
+        able = shared.join(roots, "key").where("root != largest")
+    middle = able.groupBy("key").agg(F.max(F.struct("known", "n", "node", "root")).alias("m"))
+    fits = F.least("n", "m.n") * 100 >= F.greatest("n", "m.n") * similar
+    met = shared.join(middle, "key").where((F.col("root") != F.col("m.root")) & fits)
+    met = met.groupBy("node", "band", F.col("m.node").alias("centre")).agg(F.count("*").alias("times"))
+    met = met.groupBy("node", "band").agg(F.max_by("centre", F.struct("times", "centre")).alias("centre"))
+    met = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "band")
+    return staged(within_bounds(staged(met, "met", large=True), bounds, similar), "star", large=True)
 
 
 def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, unique: bool) -> DataFrame:
@@ -301,9 +288,9 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int, similar: int
 
 def every_link(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, similar: int, unique: bool) -> tuple[DataFrame, DataFrame]:
     """All links (a, b) between nodes; and the nodes without their sketches, for ``nodes`` is deleted."""
-    shared = shared_parts(nodes).withColumn("root", F.col("node"))
+    shared = shared_parts(nodes)
     nodes, bounds = slimmed(nodes)
-    pairs = staged(candidates(shared, bounds, similar), "pairs", large=True)
+    pairs = staged(candidates(shared, bounds, similar, every=True), "pairs", large=True)
     texts = texts_of(both_ends(pairs), nodes, docs, id_col, text_col, size, unique)
     return staged(verified(pairs, texts, size, similar), "linked", large=True), nodes
 
@@ -311,34 +298,26 @@ def every_link(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, si
 def spanning_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, similar: int, unique: bool) -> tuple[DataFrame, DataFrame]:
     """Links enough to connect whatever links connect; and the nodes without their sketches, for ``nodes`` is deleted.
 
-    First each node is compared with the one that it meets most often among its shared parts' centres, for several
-    choices of centres; then, in the parts whose nodes still fall into several components, all pairs across components
-    are.  A large group of near copies is mostly connected by then, and its pairs are never listed.
+    Stars come first, and after each the parts whose nodes are all in one component are done with; then, in the parts
+    whose nodes still fall into several components, all pairs across components are compared.  A large group of near
+    copies is mostly connected by then, and its pairs are never listed.
     """
     shared = shared_parts(nodes)
     nodes, bounds = slimmed(nodes)
-    fits = F.least("n", "m.n") * 100 >= F.greatest("n", "m.n") * similar
-    stars = None
-    for turn in range(STARS):
-        middle = shared.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("turn"), "node", "n")).alias("m"))
-        star = shared.join(middle, "key").where((F.col("node") != F.col("m.node")) & fits)
-        star = star.groupBy("node", "band", F.col("m.node").alias("centre")).agg(F.count("*").alias("times"))
-        star = star.groupBy("node", "band").agg(F.max_by("centre", F.struct("times", "centre")).alias("centre"))
-        star = star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "band")
-        star = staged(within_bounds(staged(star, "met", large=True), bounds, similar), "star", large=True)
-        stars = star if stars is None else stars.unionAll(star)
-    stars = stars.distinct()
-    texts = texts_of(both_ends(stars), nodes, docs, id_col, text_col, size, unique)
-    links = staged(verified(stars, texts, size, similar), "linked", large=True)
-    drop(texts)
-    rooted = shared.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parts = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    mixed = staged(rooted.join(parts.select("key"), "key", "left_semi"), "mixed", large=True)
+    links = None
+    for turn in range(STARS + 1):
+        pairs = star(shared, bounds, similar, turn == 0) if turn < STARS else staged(candidates(shared, bounds, similar), "pairs", large=True)
+        texts = texts_of(both_ends(pairs), nodes, docs, id_col, text_col, size, unique)
+        new = staged(verified(pairs, texts, size, similar), "linked", large=True)
+        drop(texts)
+        links = new if links is None else links.unionAll(new)
+        if turn < STARS:
+            rooted = shared.drop("root").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+            mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+            before, shared = shared, staged(rooted.join(mixed, "key", "left_semi"), "mixed", large=True)
+            drop(before)
     drop(shared)
-    pairs = staged(candidates(mixed, bounds, similar), "pairs", large=True)
-    drop(mixed)
-    texts = texts_of(both_ends(pairs), nodes, docs, id_col, text_col, size, unique)
-    return links.unionAll(staged(verified(pairs, texts, size, similar), "linked", large=True)), nodes
+    return links, nodes
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similar: int = SIMILAR, count_links: bool = False) -> DataFrame:

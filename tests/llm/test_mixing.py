@@ -8,7 +8,7 @@ def table(spark, n=400, seed=1):
     rng = random.Random(seed)
     rows = [(i, " ".join(["w"] * rng.randrange(60)), "hot" if rng.random() < 0.4 else f"s{rng.randrange(5)}", 1) for i in range(n)]
     rows += [(n, None, "s0", 1), (n + 1, "a b", None, 1), (n + 1, "a b", None, 1), (None, "x   y", "empty", 1), (n + 2, "", "none", 1)]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, start int"), rows
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, rid int"), rows
 
 
 def brute_targets(sizes):
@@ -66,3 +66,23 @@ def test_documents_of_the_mix(spark):
     total = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows)
     assert abs(words / total - 1.5) < 0.1
     assert mixing.mixed(docs.limit(0)).count() == 0 and mixing.mix_documents(docs.limit(0)).count() == 0
+
+
+def test_the_schedule_decides_the_order(spark, monkeypatch):
+    docs, rows = table(spark)
+    slots = lambda: {(r.doc_id, r["size"]): (r.taken, r.first_slot) for r in mixing.mixed(docs, block=64).collect()}
+    golden = slots()
+    order = [r.doc_id for r in mixing.mix_documents(docs, block=64).collect()]
+    at = {i: s for (i, _), (t, s) in golden.items() if i is not None and i < 400}
+    first = [at[i] for k, i in enumerate(order) if at.get(i) is not None and i not in order[:k]]
+    assert len(first) > 200 and sum(a <= b for a, b in zip(first, first[1:], strict=False)) > 0.8 * len(first)
+    monkeypatch.setattr(mixing, "GOLDEN", 1)
+    plain = slots()
+    assert {k: t for k, (t, _) in golden.items()} == {k: t for k, (t, _) in plain.items()}
+    assert sum(golden[k][1] != plain[k][1] for k in golden) > 100
+
+
+def test_long_texts(spark):
+    docs = spark.createDataFrame([(1, "w " * 100_000, "a"), (2, "v", "a"), (3, "", "b")], "doc_id long, text string, source string")
+    out = {r.doc_id: r for r in mixing.mixed(docs).collect()}
+    assert out[1]["size"] == 100_000 and out[3].taken == 0 and out[3].first_slot is None and sum(r.taken for r in out.values()) == 150_002

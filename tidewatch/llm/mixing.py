@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.llm.arrow import hidden
 from tidewatch.llm.store import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,7 +87,9 @@ def schedule(sources: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     spans = src.select("source", "quota", edge(F.col("upto") - F.col("quota")).alias("lo"), edge(F.col("upto")).alias("hi"))
     width = CIRCLE // CELLS
     cells = spans.where("hi > lo").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
-    points = spark.range(n).select(F.col("id").alias("slot"), (F.col("id") * F.lit(GOLDEN) % F.lit(CIRCLE)).alias("point"))
+    turned = lambda x: x * F.lit(GOLDEN) % F.lit(CIRCLE)  # noqa: E731  in halves, so that no product overflows
+    low, high = F.col("id") % 65536, F.floor(F.col("id") / 65536) % 65536
+    points = spark.range(n).select(F.col("id").alias("slot"), ((turned(high) * 65536 + turned(low)) % F.lit(CIRCLE)).alias("point"))
     dealt = points.withColumn("cell", F.floor(F.col("point") / width)).join(cells, "cell").where("point >= lo AND point < hi")
     dealt = dealt.select("slot", "source", "quota", F.floor(F.col("slot") / SLOT_BUCKET).alias("bucket"))
     ranked = before(dealt, "source", "bucket", ["slot"], F.lit(1).cast("long"), "rank").where("rank < quota").select("slot", "source", "rank")
@@ -104,12 +107,12 @@ def schedule(sources: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     return slots.select("slot", "source", "rank", at.alias("block"), (at * block).alias("first"), F.least(end, (at + 1) * block).alias("last"))
 
 
-def laid_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def laid_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rid_col: str | None = None) -> DataFrame:
     """Rows ``rid, doc_id, source, size, start``: where each document stands on its source's shuffled line of words.
 
-    ``rid`` tells rows apart; it is taken from the column ``__rid`` where ``docs`` has one.
+    ``rid`` tells rows apart; it is a new number, or what the column ``rid_col`` of ``docs`` has.
     """
-    rid = F.col("__rid") if "__rid" in docs.columns else F.monotonically_increasing_id()
+    rid = F.col(rid_col) if rid_col else F.monotonically_increasing_id()
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     named = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     shuffled = F.conv(F.substring(F.md5(named.cast("binary")), 1, 12), 16, 10).cast("long")
@@ -119,8 +122,8 @@ def laid_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def dealt(lines: DataFrame, sources: DataFrame, block: int) -> DataFrame:
-    """Every meeting of a document with a slot that takes one of its blocks: ``rid, start, end, first, last``."""
-    slots = schedule(sources, block).select(F.col("source").alias("s"), F.col("block").alias("b"), "first", "last")
+    """Every meeting of a document with a slot that takes one of its blocks: ``rid, start, end, slot, first, last``."""
+    slots = schedule(sources, block).select(F.col("source").alias("s"), F.col("block").alias("b"), "slot", "first", "last")
     end = F.col("start") + F.col("size")
     blocks = F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))
     pieces = lines.where("size > 0").select("rid", "source", "start", end.alias("end"), F.explode(blocks).alias("block"))
@@ -128,29 +131,36 @@ def dealt(lines: DataFrame, sources: DataFrame, block: int) -> DataFrame:
 
 
 def mixed(docs: DataFrame, block: int = BLOCK_WORDS, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, **cols: str) -> DataFrame:
-    """What the mix takes of every document: ``rid, doc_id, source, size, start, source_size, target, taken``.
+    """What the mix takes of every document: ``rid, doc_id, source, size, start, source_size, target, taken, first_slot``.
 
     A null text has no words; a null source is a source of its own, last in order; rows repeated under one id are
-    separate documents.  ``taken`` counts words, repeats included, and is at most ``most`` times the size (rounded up).
-    Documents without words and empty tables take nothing.  Columns besides the three named ones are ignored.
+    separate documents.  ``taken`` counts words, repeats included, and is at most ``most`` times the size (rounded up);
+    ``first_slot`` is the slot of the schedule that first takes some of them.  Documents without words and empty tables
+    take nothing (null slot).  Ties on a source's line go by id, then size; whole texts are counted, however long.
+    Columns besides the three named ones are ignored, whatever their names.
     """
     lines = laid_out(docs, **cols)
     sources = staged(targets(lines.select("source", "size"), share, most, weights), "targets")
-    words = F.greatest(F.lit(0), F.least("end", "last") - F.greatest("start", "first"))
-    taken = dealt(lines, sources, block).groupBy("rid").agg(F.sum(words).alias("taken"))
+    words = F.least("end", "last") - F.greatest("start", "first")
+    met = dealt(lines, sources, block).withColumn("words", words).where("words > 0")
+    taken = met.groupBy("rid").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     per = sources.withColumnRenamed("source", "s")
     out = lines.join(taken, "rid", "left").join(per, lines["source"].eqNullSafe(per["s"]), "left")
-    return out.select("rid", "doc_id", "source", "size", "start", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+    return out.select("rid", "doc_id", "source", "size", "start", "source_size", "target", taken, "first_slot")
 
 
 def mix_documents(docs: DataFrame, block: int = BLOCK_WORDS, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
-    """``docs`` as the mix has them, in whole documents and with unchanged columns: a document comes once for every slot
-    that takes its first word, so zero times, once or (under the default cap) twice.  Those without words come once."""
-    cols = docs.columns
-    held = staged(docs.select("*", F.monotonically_increasing_id().alias("__rid")), "texts")
-    lines = laid_out(held)
+    """``docs`` as the mix has them, in whole documents, with unchanged columns and in the schedule's order.
+
+    A document comes once for every slot that takes its first word, so zero times, once or (under the default cap) twice,
+    and stands there by that slot.  Those without words come once, at the end.
+    """
+    rid, slot, start = hidden(docs, "rid", "slot", "start")
+    held = staged(docs.select("*", F.monotonically_increasing_id().alias(rid)), "texts")
+    lines = laid_out(held, rid_col=rid)
     sources = staged(targets(lines.select("source", "size"), share, most, weights), "targets")
-    begun = dealt(lines, sources, block).where("start >= first AND start < last").groupBy("rid").count()
-    times = begun.unionAll(lines.where("size = 0").select("rid", F.lit(1).cast("long").alias("count")))
-    taken = held.join(times.withColumnRenamed("rid", "__rid"), "__rid")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "count"))).select(*cols)
+    begun = dealt(lines, sources, block).where("start >= first AND start < last").select("rid", "slot", "start")
+    seats = begun.unionAll(lines.where("size = 0").select("rid", F.lit(None).cast("long").alias("slot"), "start"))
+    seats = staged(seats.select(F.col("rid").alias(rid), F.col("slot").alias(slot), F.col("start").alias(start)), "seats")
+    return held.join(seats, rid).orderBy(F.col(slot).asc_nulls_last(), start, rid).select(*docs.columns)

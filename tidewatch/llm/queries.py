@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,11 +85,33 @@ t AS (
 
 ORACLES: dict[str, str] = {
     "op1_source_mixing": LINE
-    + """
-SELECT doc_id, size, source_size, target,
-       CASE WHEN size = 0 THEN 0 ELSE (words // source_size) * size
-         + greatest(0, least(start + size, words % source_size) - start) END::BIGINT AS taken
+    + """,
+q AS (
+  SELECT source, source_size, target, words // source_size AS laps, words % source_size AS rest, (source_size + 4095) // 4096 AS blocks,
+         (words // source_size) * ((source_size + 4095) // 4096) + (words % source_size + 4095) // 4096 AS quota
+  FROM t WHERE source_size > 0),
+u AS (SELECT *, sum(quota) OVER (ORDER BY source NULLS LAST)::BIGINT AS upto, sum(quota) OVER ()::BIGINT AS n FROM q),
+e AS (
+  SELECT *, floor(((upto - quota) * 4294967296)::DOUBLE / n)::BIGINT AS lo, floor((upto * 4294967296)::DOUBLE / n)::BIGINT AS hi FROM u),
+p AS (SELECT slot, (slot * 2654435769) % 4294967296 AS point FROM range((SELECT coalesce(max(n), 0)::BIGINT FROM u)) r(slot)),
+g AS (
+  SELECT source, quota, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+  FROM p JOIN e ON point >= lo AND point < hi),
+r AS (SELECT source, n, unnest(range(quota::BIGINT)) AS rank FROM e),
+h AS (
+  SELECT r.source, r.rank, coalesce(g.slot, r.n + r.rank) AS slot
+  FROM r LEFT JOIN g ON g.source IS NOT DISTINCT FROM r.source AND g.rank = r.rank),
+b AS (
+  SELECT h.source, h.slot, (h.rank % e.blocks) * 4096 AS first,
+         least((h.rank % e.blocks + 1) * 4096, CASE WHEN h.rank // e.blocks < e.laps THEN e.source_size ELSE e.rest END) AS last
+  FROM h JOIN e ON h.source IS NOT DISTINCT FROM e.source),
+m AS (
+  SELECT doc_id, l.source, turn, start, size, sum(least(start + size, last) - greatest(start, first)) AS taken, min(slot) AS first_slot
+  FROM l JOIN b ON l.source IS NOT DISTINCT FROM b.source AND start < last AND start + size > first
+  WHERE size > 0 GROUP BY ALL)
+SELECT l.doc_id, l.size, t.source_size, t.target, coalesce(m.taken, 0)::BIGINT AS taken, m.first_slot::BIGINT AS first_slot
 FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source
+LEFT JOIN m ON l.source IS NOT DISTINCT FROM m.source AND l.start = m.start AND l.size = m.size AND l.doc_id IS NOT DISTINCT FROM m.doc_id
 """,
     "op5_warc_archives": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS payload_bytes FROM pages),

@@ -27,8 +27,8 @@ from tidewatch.llm.store import new_path, staged
 
 #: Bytes of a payload from which equal ones become revisits.
 REVISIT = 1000
-#: Size of the dictionary, records it is trained on and bytes taken of each; all bounds, so the driver holds little.
-DICTIONARY, TRAINED, TAKEN = 64 << 10, 1500, 8 << 10
+#: Size of the dictionary; records and bytes of records that it is trained on, at most (whole records, the least by hash of the id).
+DICTIONARY, TRAINED, TRAINED_BYTES = 64 << 10, 1500, 8 << 20
 LEVEL = 3
 # Fixed values of the formats: the skippable frame's and an ordinary frame's magic numbers, the record version, line ends.
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
@@ -60,6 +60,10 @@ def page_record(page_id: object, url: str | None, payload: bytes, digest: str, r
     return record([*headers, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Payload-Length", str(len(payload)))], b"")
 
 
+def info(part: int) -> bytes:
+    return record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:part:{part}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
+
+
 class Writer:
     """Appends records to a binary stream; the dictionary, if any, goes first."""
 
@@ -100,20 +104,22 @@ def records(source: BinaryIO) -> Iterator[bytes]:
 
 
 def trained(pages: DataFrame) -> bytes:
-    """A dictionary trained on a bounded sample of the pages (by hash, beginnings only); empty if they are too few.
-
-    What it holds only moves sizes, never contents."""
-    text = F.encode(F.substring(F.coalesce("html", F.lit("")), 1, TAKEN), "UTF-8")
-    share = int(min(1.0, 1.2 * TRAINED / max(1, pages.count())) * (1 << 20)) + 1
-    drawn = pages.where(F.pmod(F.xxhash64("html", "page_id"), F.lit(1 << 20)) < share).select(text.alias("payload"))
-    rows = drawn.where(F.length("payload") > 64).limit(TRAINED).collect()
-    samples = [record([("WARC-Type", "response"), ("WARC-Date", DATE), ("Content-Type", "text/html; charset=utf-8")], bytes(r.payload)) for r in rows]
-    if len(samples) < 16:
-        return b""
+    """A dictionary trained on a bounded sample of the records, drawn by hash of the id; where these are too few or too alike
+    for the trainer, their own bytes are the dictionary.  What it holds only moves sizes, never contents."""
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    turn = F.xxhash64("page_id")
+    some = pages.where(F.col("page_id").isNotNull()).select("page_id", turn.alias("turn"), size.alias("size")).where(F.col("size") <= TRAINED_BYTES)
+    room, ids = TRAINED_BYTES, []
+    for r in some.orderBy("turn", "page_id", "size").limit(TRAINED).collect():  # three numbers a row, of a bounded sample
+        if r["size"] <= room:
+            room -= r["size"]
+            ids.append(r["page_id"])
+    rows = pages.where(F.col("page_id").isin(ids) & (size <= TRAINED_BYTES)).groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").collect() if ids else []
+    samples = [page_record(r.page_id, "", (r.html or "").encode("utf-8", "surrogatepass"), "", None) for r in rows] + [info(0)]
     try:
-        return zstandard.train_dictionary(min(DICTIONARY, sum(map(len, samples)) // 8), samples).as_bytes()
-    except zstandard.ZstdError:  # samples too small or too alike for the trainer
-        return b""
+        return zstandard.train_dictionary(max(256, min(DICTIONARY, sum(map(len, samples)) // 8)), samples).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[-DICTIONARY:]
 
 
 def opened(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -133,7 +139,7 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes) -> DataFram
         temporary = f"{name}.{task.taskAttemptId()}.tmp"
         with fs.open_output_stream(temporary, compression=None) as out:
             writer = Writer(out, dictionary)
-            writer.write(record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:part:{task.partitionId()}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
+            writer.write(info(task.partitionId()))
             for batch in batches:
                 for at in range(0, batch.num_rows, SLICE):
                     for row in zip(*[c.to_pylist() for c in batch.slice(at, SLICE).columns], strict=True):
@@ -210,11 +216,14 @@ def archived(pages: DataFrame, folder: str | None = None, id_col: str = "page_id
 
     ``folder`` is where the archives go and stay (default: a new one in the shared folder).  A null html is an empty
     payload; a null url an empty one; a null id is written as none and never referred to unless no other id has the
-    payload, in which case all copies are responses.  An empty table gives an empty result.
+    payload, in which case all copies are responses.  Payloads are written whole, however long.  Of equal payloads under
+    one largest id all rows are responses.  Other columns are ignored, whatever their names; an empty table gives an empty
+    result.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     folder = folder or new_path(spark, "warc")
     dictionary = trained(rows)
     written = staged(write_archives(decided(rows), folder, dictionary), "archives")
-    return read_archives(written.where("records > 0").repartition("path"), folder)
+    written = written.where("records > 0").select("path")
+    return read_archives(written.repartition(max(1, written.count())), folder)  # an archive a task

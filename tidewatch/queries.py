@@ -351,7 +351,15 @@ def tune_threshold(spark, sf):
     return spark.createDataFrame([(float(a), b) for a, b in c.curve], "cut double, value double")
 
 
-@query("tune_threshold_events")
+EVENTS_TUNED = H + f""", y AS (SELECT t_ns, n, coalesce(v > {V_CUT}::DOUBLE, false) AS y FROM h), c AS (SELECT DISTINCT n AS cut FROM h),
+a AS (SELECT min(t_ns) AS s, max(t_ns) + 3599999999999 AS e FROM (SELECT t_ns, t_ns - 3600000000000 * row_number() OVER (ORDER BY t_ns) AS i FROM y WHERE y) GROUP BY i),
+b AS (SELECT cut, min(t_ns) AS s, max(t_ns) + 3599999999999 AS e FROM (SELECT cut, t_ns, t_ns - 3600000000000 * row_number() OVER (PARTITION BY cut ORDER BY t_ns) AS i FROM y, c WHERE n > cut) GROUP BY cut, i),
+o AS (SELECT b.cut, a.s AS s, b.s AS t, least(a.e, b.e) - greatest(a.s, b.s) + 1 AS common FROM a JOIN b ON a.s <= b.e AND b.s <= a.e),
+r AS (SELECT cut, avg((coalesce(k, 0) >= 0.5 * (e - s + 1) AND k > 0)::INT) AS r FROM (SELECT c.cut, a.s, a.e, (SELECT sum(common) FROM o WHERE o.cut = c.cut AND o.s = a.s) AS k FROM c, a) GROUP BY cut),
+p AS (SELECT cut, avg((coalesce(k, 0) >= 0.5 * (e - s + 1) AND k > 0)::INT) AS p FROM (SELECT b.cut, b.s, b.e, (SELECT sum(common) FROM o WHERE o.cut = b.cut AND o.t = b.s) AS k FROM b) GROUP BY cut)"""
+
+
+@query("tune_threshold_events", EVENTS_TUNED + f" SELECT c.cut, {r6('CASE WHEN r + p > 0 THEN 2 * r * p / (r + p) END::DOUBLE')} AS value FROM c LEFT JOIN r USING (cut) LEFT JOIN p USING (cut)")
 def tune_threshold_events(spark, sf):
     s = hourly(spark, sf).select("n")
     c = tw.tune_threshold(cut_labels(spark, sf, "v", V_CUT), s, candidates=s.df.select("n").distinct().count())  # every cut
@@ -365,7 +373,43 @@ def budget_threshold(spark, sf):
     return spark.createDataFrame([(float(a), b) for a, b in c.curve], "cut double, alerts double")
 
 
-# Kernels per series and models: rows only, held against brute force in the tests
+# Kernels per series.  Where SQL can say what a kernel finds, it does so by definition: all pairs of windows, all segmentations.
+
+ROWS = K + """, i AS (SELECT event_type, t_ns, v, row_number() OVER (PARTITION BY event_type ORDER BY t_ns) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM k)"""
+WINDOWS = ROWS + """, w AS (SELECT event_type, i, list(v) OVER (PARTITION BY event_type ORDER BY i ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING) AS x FROM i QUALIFY len(x) = 24),
+z AS (SELECT event_type, i, list_transform(x, lambda e: (e - list_avg(x)) / list_stddev_pop(x)) AS z FROM w),
+d AS (SELECT a.event_type, a.i, min(sqrt(greatest(0.0, 2 * (24 - list_dot_product(a.z, b.z))))) AS d FROM z a JOIN z b ON a.event_type = b.event_type AND {near} GROUP BY a.event_type, a.i),
+c AS (SELECT i.event_type, i.t_ns, max(d.d) AS s FROM i LEFT JOIN d ON d.event_type = i.event_type AND d.i BETWEEN i.i - 23 AND i.i GROUP BY i.event_type, i.t_ns),
+f AS (SELECT event_type, quantile_cont(s, 0.75) + 3 * (quantile_cont(s, 0.75) - quantile_cont(s, 0.25)) AS high FROM c GROUP BY event_type)
+SELECT event_type, t_ns, (s > high)::INT::DOUBLE AS v FROM c JOIN f USING (event_type)"""
+SUMS = ROWS + """, x AS (SELECT event_type, t_ns, i, n, v - avg(v) OVER (PARTITION BY event_type) AS x, abs(v - lag(v) OVER (PARTITION BY event_type ORDER BY i)) AS step FROM i),
+u AS (SELECT event_type, max(n)::INT AS n, [0.0::DOUBLE] || list(a ORDER BY i) AS a, [0.0::DOUBLE] || list(b ORDER BY i) AS b, 2 * (1.482602218505602 * median(step) / sqrt(2)) ** 2 * ln(max(n)) AS beta
+  FROM (SELECT *, sum(x) OVER w AS a, sum(x * x) OVER w AS b FROM x WINDOW w AS (PARTITION BY event_type ORDER BY i)) GROUP BY event_type)"""
+PELT = SUMS.replace("WITH", "WITH RECURSIVE", 1) + """, g AS (
+  SELECT event_type, 1 AS e, [-beta, 'inf'::DOUBLE] AS best, [0, 0] AS last FROM u
+  UNION ALL
+  SELECT event_type, e, best || [list_min(t) + beta], last || [list_position(t, list_min(t)) - 1] FROM (
+    SELECT u.event_type, g.e + 1 AS e, beta, best, last, list_transform(range(g.e), lambda s: best[s + 1] + (b[g.e + 2] - b[s + 1]) - (a[g.e + 2] - a[s + 1]) ** 2 / (g.e + 1 - s)) AS t
+    FROM g JOIN u USING (event_type) WHERE g.e < n)),
+h AS (
+  SELECT event_type, last, last[e + 1] AS stop FROM g JOIN u USING (event_type) WHERE e = n
+  UNION ALL
+  SELECT event_type, last, last[stop + 1] FROM h WHERE stop > 0)
+SELECT event_type, t_ns, (i IN (SELECT stop FROM h WHERE h.event_type = i.event_type AND stop > 0))::INT::DOUBLE AS v FROM i"""
+THREE = SUMS + """, p AS (SELECT event_type, n, s, e, (b[e + 1] - b[s + 1]) - (a[e + 1] - a[s + 1]) ** 2 / (e - s) AS c
+  FROM (SELECT *, unnest(range(s + 2, n + 1)) AS e FROM (SELECT *, unnest(range(0, n - 1)) AS s FROM u))),
+one AS (SELECT event_type, e, c AS best FROM p WHERE s = 0),
+two AS (SELECT p.event_type, p.e, min(best + c) AS best, arg_min(s, best + c) AS at FROM p JOIN one ON one.event_type = p.event_type AND one.e = p.s GROUP BY p.event_type, p.e),
+three AS (SELECT p.event_type, p.e, min(best + c) AS best, arg_min(s, best + c) AS at FROM p JOIN two ON two.event_type = p.event_type AND two.e = p.s GROUP BY p.event_type, p.e),
+four AS (SELECT p.event_type, arg_min(s, best + c) AS at FROM p JOIN three ON three.event_type = p.event_type AND three.e = p.s WHERE p.e = n GROUP BY p.event_type),
+h AS (SELECT event_type, four.at AS x, three.at AS y, two.at AS z FROM four JOIN three USING (event_type) JOIN two USING (event_type) WHERE three.e = four.at AND two.e = three.at)
+SELECT event_type, t_ns, (i IN (x, y, z))::INT::DOUBLE AS v FROM i JOIN h USING (event_type)"""
+KERNELS = {
+    "pelt": PELT,
+    "ruptures_dynp": THREE,
+    "matrix_profile": WINDOWS.format(near="abs(a.i - b.i) > 6"),
+    "damp": WINDOWS.format(near="a.i >= 48 AND b.i <= a.i - 24"),
+}
 
 for name, made in {
     "esd": lambda: tw.EsdDetector(0.05),
@@ -377,7 +421,7 @@ for name, made in {
     "matrix_profile": lambda: tw.MatrixProfileDetector(24),
     "damp": lambda: tw.DampDetector(24),
 }.items():
-    query(f"{name}_detector")(lambda spark, sf, made=made: made().fit_detect(by_type(spark, sf)))
+    query(f"{name}_detector", KERNELS.get(name))(lambda spark, sf, made=made: made().fit_detect(by_type(spark, sf)))
 for name, made in {
     "spectral_residual": lambda: tw.SpectralResidualDetector(),
     "stl": lambda: tw.StlDetector(24),

@@ -120,6 +120,22 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, sha1(p.h) AS payload_dig
        CASE WHEN n > 1 AND keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n > 1 AND keep <> page_id THEN keep END AS refers_to
 FROM p LEFT JOIN g ON p.h = g.h
+""",
+    "op9_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+r AS (
+  SELECT a AS doc_id, b AS other FROM l
+  UNION
+  SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id))::BIGINT AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS m FROM r GROUP BY doc_id) USING (doc_id)
 """,
     "op10_exact_dedup": """
 WITH d AS (

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.arrow import SLICE, bounded_batches, map_rows
-from tidewatch.llm.store import staged
+from tidewatch.llm.store import drop, staged
 
 #: Bytes of a string that must not repeat; bytes of a gram.
 LENGTH, GRAM = 100, 32
@@ -96,23 +96,6 @@ def hashes(b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return spread((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
 
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, mark, text) -> anchors' hashes ``a``, one row each."""
-    bounded_batches(docs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                found = [np.zeros(0, np.uint64)]
-                for t in batch.column(0).slice(at, SLICE).to_pylist():
-                    b = np.frombuffer(bytes_of(t), np.uint8)
-                    if len(b) >= LENGTH:
-                        found.append(runs(b)[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["a"])
-
-    return docs.select("text").mapInArrow(run, "a long")
-
-
 def segments(docs: DataFrame) -> DataFrame:
     """One row per run: ``doc_id, mark, a, lo, n, off, fp`` (first window, windows, the anchor's offset, segment's hash)."""
     bounded_batches(docs)
@@ -290,9 +273,10 @@ def told_apart(rows: DataFrame) -> DataFrame:
 
 def removed(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``docs`` (doc_id, mark, text) -> ``doc_id, mark, lo, hi``: byte ranges to remove, overlapping as they come."""
-    twice = anchors(docs).groupBy("a").count().where("count > 1").select("a")
-    twice = staged(twice, "repeated", large=True)
-    runs_ = staged(segments(docs).join(twice, "a", "left_semi"), "runs", large=True)
+    every = staged(segments(docs), "segments", large=True)
+    twice = staged(every.groupBy("a").count().where("count > 1").select("a"), "repeated", large=True)
+    runs_ = staged(every.join(twice, "a", "left_semi"), "runs", large=True)
+    drop(every)
     start = F.struct("doc_id", "mark", "lo")
     firsts = runs_.groupBy("a", "fp").agg(F.min(start).alias("first"), F.first("n").alias("n"), F.first("off").alias("off"))
     firsts = staged(firsts, "firsts", large=True)

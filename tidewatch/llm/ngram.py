@@ -1,11 +1,12 @@
 """N-gram Jaccard join by parity sketches.
 
-A document is the set of its word n-grams.  For a band of set sizes, the n-grams are dealt by hash over P parts of 64
-bits, and each flips one bit of its part: a bit sketch of P words.  An n-gram that only one of two documents has changes
-one part at most, so the Hamming distance of two sketches, and the number of parts in which they differ, are lower bounds
-of the sets' symmetric difference.  Linked documents of sizes a and b differ in at most (1 - t) / (1 + t) * (a + b)
-n-grams; a band has some parts more than that for its largest sizes.  So linked documents agree in a part (pigeonhole), and
-the join on equal parts finds every pair.  Then the Hamming distance and at last the texts decide.
+A document is the set of its word n-grams.  For a band of set sizes, the n-grams are dealt by hash over P parts, and each
+is XORed into its part as a hash of 64 bits: a sketch of P words, every bit of which is a parity.  An n-gram that only one
+of two documents has changes one part, so the number of parts in which two sketches differ is at most the sets' symmetric
+difference.  Linked documents of sizes a and b differ in at most (1 - t) / (1 + t) * (a + b) n-grams; a band has some parts
+more than that for its largest sizes.  So linked documents agree in a part (pigeonhole), and the join on equal parts finds
+every pair.  A second sketch has one parity bit flipped by each n-gram: the Hamming distance of two of these bounds the
+symmetric difference from below and rejects pairs; at last the texts decide.
 
 Equal sets are one node from the start.  For components, the nodes that share a part are first compared with one of them,
 the one that shares most parts with others, and then with the one that does so of those left over.  Only what such stars
@@ -37,7 +38,7 @@ BLOCK = 2048
 STARS = 2
 #: Parts that a band has beyond need, in hundredths, so that parts of no bits need not be joined on.
 SPARE = 15
-#: Words of the folded sketch that bounds are taken from.
+#: Words of the sketch of parity bits that bounds are taken from.
 FOLD = 16
 #: Bytes of the words whose hashes a task keeps.
 KEPT = 40_000_000
@@ -107,96 +108,94 @@ def shingles(words: list[bytes], kept: Hashes, size: int) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Parity of the hashes in each of ``parts`` words of 64 bits."""
-    part = (hashes >> np.uint64(6)) % np.uint64(parts)
+    """XOR of the hashes in each of ``parts`` parts."""
+    part = (hashes >> np.uint64(10)) % np.uint64(parts)
     order = np.argsort(part, kind="stable")
-    part, bits = part[order], np.uint64(1) << (hashes[order] & np.uint64(63))
+    part = part[order]
     first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     out = np.zeros(parts, np.uint64)
-    out[part[first]] = np.bitwise_xor.reduceat(bits, first)
+    out[part[first]] = np.bitwise_xor.reduceat(hashes[order], first)
     return out.view(np.int64)
 
 
-def folded(parts: np.ndarray) -> np.ndarray:
-    """The same sketch in ``FOLD`` words at most: parity of parities, so its distances are lower bounds as well."""
-    rest = -len(parts) % FOLD
-    return np.bitwise_xor.reduce(np.pad(parts, (0, rest)).reshape(-1, FOLD), axis=0)
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """``FOLD`` words of bits; each hash flips one."""
+    times = np.bincount((hashes % np.uint64(64 * FOLD)).astype(np.int64), minlength=64 * FOLD)
+    return np.packbits((times & 1).astype(np.uint8)).view(np.int64)
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, size: int, similar: int) -> DataFrame:
-    """Rows ``doc_id, n, print, sketches``: set size, 128-bit fingerprint of the set, one sketch per join."""
+    """Rows ``doc_id, n, print, fold, sketches``: set size, 128-bit fingerprint of the set, its parity bits, one sketch per join."""
 
     def make():  # noqa: ANN202
         kept = Hashes()
 
         def run(texts: list) -> dict:
-            out: dict[str, list] = {"n": [], "print": [], "sketches": []}
+            out: dict[str, list] = {"n": [], "print": [], "fold": [], "sketches": []}
             for text in texts:
                 h = shingles(words_of(text), kept, size)
                 out["n"].append(len(h))
                 out["print"].append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 found = [(k, sketch(h, p), d) for k, p, d in entries(len(h), similar)] if len(h) else []
-                # a part of no bits tells little; with more other parts than can differ, a partner agrees in one of those
-                out["sketches"].append([{"band": k, "parts": x, "fold": folded(x), "zeros": bool((x != 0).sum() <= d)} for k, x, d in found])
+                out["fold"].append(parities(h) if found else None)
+                # an empty part tells nothing; with more other parts than can differ, a partner agrees in one of those
+                out["sketches"].append([{"band": k, "parts": x, "zeros": bool((x != 0).sum() <= d)} for k, x, d in found])
             return out
 
         return run
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_rows(rows, make, "n long, print binary, sketches array<struct<band: int, parts: array<long>, fold: array<long>, zeros: boolean>>", ["text"], ["doc_id"])
-
-
-def flattened(nodes: DataFrame) -> DataFrame:
-    return nodes.select("node", "n", F.explode("sketches").alias("s")).select("node", F.col("n").cast("int").alias("n"), "s.band", "s.parts", "s.fold", "s.zeros")
+    return map_rows(rows, make, "n long, print binary, fold array<long>, sketches array<struct<band: int, parts: array<long>, zeros: boolean>>", ["text"], ["doc_id"])
 
 
 def slimmed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes without their sketches, and what bounds need of these (node, n, band, fold); the whole is deleted."""
+    """The nodes without their sketches, and what bounds need of these (node, n, fold); the whole is deleted."""
     slim = staged(nodes.select("node", "print", "doc_id", "n"), "nodes")
-    bounds = staged(flattened(nodes).select("node", "n", "band", "fold"), "bounds")
+    bounds = staged(nodes.where("fold IS NOT NULL").select("node", F.col("n").cast("int").alias("n"), "fold"), "bounds")
     drop(nodes)
     return slim, bounds
 
 
 def shared_parts(nodes: DataFrame) -> DataFrame:
-    """Staged ``node, n, band, key, members, known, root``: the parts of sketches that several nodes have, how many have each,
+    """Staged ``node, n, key, members, known, root``: the parts of sketches that several nodes have, how many have each,
     and the sum of that over the node's parts; every node is its own root."""
-    keyed = flattened(nodes).select("node", "n", "band", "zeros", F.posexplode("parts").alias("pos", "part"))
-    keyed = keyed.where("zeros OR part != 0").select("node", "n", "band", F.xxhash64("band", "pos", "part").alias("key"))
+    keyed = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode("sketches").alias("s"))
+    keyed = keyed.select("node", "n", "s.band", "s.zeros", F.posexplode("s.parts").alias("pos", "part"))
+    keyed = keyed.where("zeros OR part != 0").select("node", "n", F.xxhash64("band", "pos", "part").alias("key"))
     several = staged(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "several", large=True)
     shared = staged(keyed.join(several, "key"), "shared", large=True)
-    known = shared.groupBy("node", "band").agg(F.sum("members").alias("known"))
-    out = staged(shared.join(known, ["node", "band"]).withColumn("root", F.col("node")), "known", large=True)
+    known = shared.groupBy("node").agg(F.sum("members").alias("known"))
+    out = staged(shared.join(known, "node").withColumn("root", F.col("node")), "known", large=True)
     drop(several)
     drop(shared)
     return out
 
 
 def allowed(similar: int) -> Column:
-    """Whether sizes and the Hamming distance of folded sketches of ``a`` and ``b`` allow a link."""
+    """Whether sizes and the Hamming distance of the parity bits of ``a`` and ``b`` allow a link."""
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similar
     far = sum((F.bit_count(F.col("fold_a")[i].bitwiseXOR(F.col("fold_b")[i])) for i in range(FOLD)), F.lit(0))
     return fits & (far * (100 + similar) <= (F.col("n_a") + F.col("n_b")) * (100 - similar))
 
 
 def side(rows: DataFrame, x: str, *more: str) -> DataFrame:
-    return rows.select(*more, F.col("node").alias(x), "band", F.col("n").alias(f"n_{x}"), F.col("fold").alias(f"fold_{x}"))
+    return rows.select(*more, F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("fold").alias(f"fold_{x}"))
 
 
 def within_bounds(pairs: DataFrame, bounds: DataFrame, similar: int) -> DataFrame:
-    """Of ``pairs`` (a, b, band) those that no bound tells apart."""
-    met = pairs.join(side(bounds, "a"), ["a", "band"]).join(side(bounds, "b"), ["b", "band"])
+    """Of ``pairs`` (a, b) those that no bound tells apart."""
+    met = pairs.join(side(bounds, "a"), "a").join(side(bounds, "b"), "b")
     return met.where(allowed(similar)).select("a", "b").distinct()
 
 
 def candidates(shared: DataFrame, bounds: DataFrame, similar: int, every: bool = False) -> DataFrame:
-    """``shared`` (node, n, band, key, members, root) -> distinct pairs (a, b), a < b, of different roots that share a part
+    """``shared`` (node, n, key, members, root) -> distinct pairs (a, b), a < b, of different roots that share a part
     and that no bound tells apart; with ``every``, of different nodes.
 
     Under each part, the nodes of its largest root meet only the others.  A part's nodes are dealt over blocks, and those
     outside the largest root go to every block, so that no task gets a large part alone.
     """
-    rows = shared.select("key", "node", "n", "band", "members", "root").join(bounds.select("node", "band", "fold"), ["node", "band"])
+    rows = shared.select("key", "node", "n", "members", "root").join(bounds.select("node", "fold"), "node")
     if every:
         rows = rows.withColumn("largest", F.lit(None).cast("long"))
     else:
@@ -206,14 +205,14 @@ def candidates(shared: DataFrame, bounds: DataFrame, similar: int, every: bool =
     inside = F.col("root").eqNullSafe(F.col("largest"))
     one = side(rows.where(~inside).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "a", "key", "block", F.col("root").alias("root_a"))
     two = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("inside", inside)
-    two = side(two, "b", "key", "block", F.col("root").alias("root_b"), "inside").drop("band")
+    two = side(two, "b", "key", "block", F.col("root").alias("root_b"), "inside")
     told = (F.col("a") != F.col("b")) if every else (F.col("root_a") != F.col("root_b"))
     met = one.join(two, (one["key"] == two["key"]) & (one["block"] == two["block"]) & told & (F.col("inside") | (F.col("a") < F.col("b"))) & allowed(similar))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def star(shared: DataFrame, bounds: DataFrame, similar: int, first: bool) -> DataFrame:
-    """``shared`` (node, n, band, key, known, root) -> pairs (a, b) that no bound tells apart: each node with the one that it
+    """``shared`` (node, n, key, known, root) -> pairs (a, b) that no bound tells apart: each node with the one that it
     meets most often among its parts' centres.
 
     A part's centre is the node that is known best; after the first time, the one of those outside its largest root.
@@ -226,9 +225,9 @@ def star(shared: DataFrame, bounds: DataFrame, similar: int, first: bool) -> Dat
     middle = able.groupBy("key").agg(F.max(F.struct("known", "n", "node", "root")).alias("m"))
     fits = F.least("n", "m.n") * 100 >= F.greatest("n", "m.n") * similar
     met = shared.join(middle, "key").where((F.col("root") != F.col("m.root")) & fits)
-    met = met.groupBy("node", "band", F.col("m.node").alias("centre")).agg(F.count("*").alias("times"))
-    met = met.groupBy("node", "band").agg(F.max_by("centre", F.struct("times", "centre")).alias("centre"))
-    met = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "band")
+    met = met.groupBy("node", F.col("m.node").alias("centre")).agg(F.count("*").alias("times"))
+    met = met.groupBy("node").agg(F.max_by("centre", F.struct("times", "centre")).alias("centre"))
+    met = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     return staged(within_bounds(staged(met, "met", large=True), bounds, similar), "star", large=True)
 
 
@@ -280,7 +279,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int, similar: int
     whether every id is one row's own."""
     first = staged(sketched(docs, id_col, text_col, size, similar), "sketched")
     rows = staged(first.select("doc_id", "n", "print"), "sets")
-    nodes = first.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
+    nodes = first.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("fold").alias("fold"), F.first("sketches").alias("sketches"))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", large=True)
     drop(first)
     return rows, nodes, not rows.groupBy("doc_id").count().where("count > 1").take(1)

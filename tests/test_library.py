@@ -498,3 +498,89 @@ def test_query_tries_every_distinct_count(spark, tmp_path):
 
     out = queries.QUERIES["tune_threshold_events"](spark, events_folder(spark, tmp_path, range(1, 121))).collect()
     assert sorted(r.cut for r in out) == [float(i) for i in range(1, 121)]
+
+
+def test_searches_for_changes_against_brute_force():
+    rng = np.random.default_rng(8)
+    for cost in ("l2", "l1"):
+        y = np.r_[rng.normal(size=8), 3 + rng.normal(size=7), rng.normal(size=9) - 2]
+        n, c = len(y), y - y.mean()
+        one = lambda a, b: ((c[a:b] - c[a:b].mean()) ** 2).sum() if cost == "l2" else np.abs(c[a:b] - np.median(c[a:b])).sum()  # noqa: B023, E731
+        total = lambda cuts: sum(one(a, b) for a, b in zip([0, *cuts], [*cuts, n], strict=True))  # noqa: B023, E731
+        able = [(a, b) for a in range(2, n - 3) for b in range(a + 2, n - 1)]
+        assert kernels.search_changes(y, "dynp", cost, n_bkps=2) == list(min(able, key=total))
+        cuts = []  # binary segmentation: the cut that saves most, again and again
+        for _ in range(3):
+            edges = [0, *sorted(cuts), n]
+            more = [(one(a, b) - one(a, k) - one(k, b), k) for a, b in zip(edges, edges[1:], strict=False) for k in range(a + 2, b - 1)]
+            cuts.append(max(more)[1])
+        assert kernels.search_changes(y, "binseg", cost, n_bkps=3) == sorted(cuts)
+        edges = [0, *range(2, n - 1, 2), n]  # bottom up: the joint that costs least goes, again and again
+        while len(edges) > 4:
+            extra = [one(a, d) - one(a, b) - one(b, d) for a, b, d in zip(edges, edges[1:], edges[2:], strict=False)]
+            del edges[1 + int(np.argmin(extra))]
+        assert kernels.search_changes(y, "bottomup", cost, n_bkps=2) == edges[1:-1]
+        half = 6  # sliding window: the largest gains that are not too near one another
+        gains = sorted(((-(one(k - half, k + half) - one(k - half, k) - one(k, k + half)), k) for k in range(half, n - half + 1)))
+        chosen = []
+        for _, k in gains:
+            if len(chosen) < 2 and all(abs(k - x) >= half for x in chosen):
+                chosen.append(k)
+        assert kernels.search_changes(y, "window", cost, n_bkps=2, width=12) == sorted(chosen)
+
+
+def test_deviates_against_brute_force():
+    assert kernels.esd_critical(54, 0.05) == pytest.approx(3.159, abs=2e-3)  # as published for this size
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        x = np.r_[rng.normal(size=40), rng.normal(size=3) * 12]
+        left = x.tolist()
+        while len(left) >= 3:
+            m, sd = np.mean(left), np.std(left, ddof=1)
+            far = max(left, key=lambda v: abs(v - m))  # noqa: B023
+            if abs(far - m) / sd <= kernels.esd_critical(len(left), 0.05):
+                break
+            left.remove(far)
+        n, total, squares = kernels.esd_survivors(x, 0.05)
+        assert n == len(left) and total == pytest.approx(sum(left)) and squares == pytest.approx(sum(v * v for v in left))
+
+
+def test_past_only_profile_spectrum_and_loess_against_brute_force():
+    rng = np.random.default_rng(5)
+    x, m = rng.normal(size=70), 6
+    w = np.lib.stride_tricks.sliding_window_view(x, m)
+    z = (w - w.mean(1, keepdims=True)) / w.std(1, keepdims=True)
+    want = [min((np.sqrt(((z[i] - z[j]) ** 2).sum()) for j in range(i - m + 1)), default=np.inf) for i in range(len(z))]
+    np.testing.assert_allclose(kernels.nearest_distances(x, m, left=True), want, atol=1e-6)
+
+    n, look = 60, 21
+    y = np.r_[x[:n], [x[n - 1 - look + 1] + look * np.mean([(x[n - 1] - x[n - 1 - k]) / k for k in range(1, look + 1)])] * 5]
+    f = np.array([sum(v * np.exp(-2j * np.pi * j * k / len(y)) for j, v in enumerate(y)) for k in range(len(y))])
+    mean = lambda v, k: np.array([np.mean(v[max(0, i - k + 1) : i + 1]) for i in range(len(v))])
+    log = np.log(np.abs(f))
+    g = np.exp(log - mean(log, 3)) * f / np.abs(f)
+    s = np.array([abs(sum(v * np.exp(2j * np.pi * j * k / len(y)) for j, v in enumerate(g)) / len(y)) for k in range(n)])
+    np.testing.assert_allclose(kernels.spectral_residual(x[:n]), s / mean(s, 21) - 1, atol=1e-8)
+
+    t, q = np.arange(70.0), 11
+    for at in (0.0, 3.5, 40.0, 69.0):
+        near = np.argsort(np.abs(t - at), kind="stable")[:q]
+        low = min(max(int(np.ceil(at - q / 2)), 0), 70 - q)
+        near = np.arange(low, low + q)
+        d = np.abs(t[near] - at) / np.abs(t[near] - at).max()
+        line = np.polyfit(t[near], x[near], 1, w=np.sqrt(np.clip(1 - d**3, 0, None) ** 3))
+        assert kernels.loess(x, q, np.ones(70), np.array([at]))[0] == pytest.approx(np.polyval(line, at))
+
+
+def test_tails_of_keys_and_events_of_lists(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, i * 10**9, float(v)) for k in ("a", "b") for i, v in enumerate(rng.exponential(1.0 + (k == "b"), 1500))]
+    keyed = tw.Series.of(spark.createDataFrame(rows, "k string, t_ns long, x double"), time="t_ns", keys=["k"])
+    fences = {r.k: r.x__high for r in tw.PotThreshold(high=1e-3, level=0.95).fit(keyed).fences_.collect()}
+    for k in ("a", "b"):
+        one = tw.Series.of(spark.createDataFrame([r[1:] for r in rows if r[0] == k], "t_ns long, x double"), time="t_ns")
+        assert fences[k] == pytest.approx(tw.PotThreshold(high=1e-3, level=0.95).fit(one).fences_["x"]["high"])
+    want = [(0, 20), (40, 50)]
+    for data in ([(10, 20), (0, 12), (40, 50)], ((40, 50), (0, 20)), np.array([[0, 20], [40, 50]])):
+        assert sorted(map(tuple, tw.Events.from_any(data).to_frame().collect())) == want
+    assert tw.Events.from_any([]).n_events == 0

@@ -38,9 +38,15 @@ class Events:
 
     @classmethod
     def of(cls, data: Any, by: Sequence[str] = (), start: str = "start", end: str = "end") -> Events:
-        """Events of a DataFrame with two columns of times; intervals that end before they start raise."""
+        """Events of a DataFrame with two columns of times, or of bounds held on the driver (a list, tuple or array as
+        :meth:`from_bounds` takes, or a pandas frame); intervals that end before they start raise."""
         if isinstance(data, Events):
             return data
+        if isinstance(data, pd.DataFrame):
+            a, b = (START, END) if START in data else (start, end)
+            data = data[[a, b]].to_numpy()
+        if isinstance(data, list | tuple | np.ndarray):
+            return cls.from_bounds(SparkSession.getActiveSession(), data)
         if START in data.columns:
             start, end = START, END
         a, b = nanoseconds(data, start), nanoseconds(data, end)

@@ -7,11 +7,12 @@ open side is infinite.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.kernels import LEAST_PEAKS, MAD_SCALE, esd_critical, esd_survivors, gpd_fit, pot_fence
@@ -217,26 +218,53 @@ class PotThreshold(FencedThreshold):
                 raise ValueError("targets are probabilities")
 
     def _learn(self, series: Series) -> None:
+        starts = quantiles(series, {c: {"low": 1 - self.level, "high": self.level} for c in series.values})
+        counts = learn(series, {c: {"n": F.count(c)} for c in series.values})
         if series.keys:
-            raise ValueError("tails are fitted on one series")
+            self.fences_ = self._fences_of_keys(series, both(series, starts, counts))
+            return
         self.fences_, self.tails_ = {}, {}
-        starts = learn(series, {f"{s}{c}": {"start": F.percentile(F.col(c) * sign, F.lit(self.level)), "n": F.count(c)} for c in series.values for s, sign in (("+", 1), ("-", -1))})
         for c in series.values:
             fence = {}
             for side, sign, target in (("low", -1, self.low), ("high", 1, self.high)):
-                s = starts[f"{'+' if sign > 0 else '-'}{c}"]
                 if target is None:
                     fence[side] = sign * INFINITY
                     continue
-                tail = {"start": s["start"], "count": s["n"], "peaks": [], "target": target}
-                if s["start"] is not None:
-                    over = series.df.select((F.col(c) * sign - s["start"]).alias("y")).where("y > 0")
+                start = starts[c][side]
+                tail = {"start": None if start is None else sign * start, "count": counts[c]["n"], "peaks": [], "target": target}
+                if start is not None:
+                    over = series.df.select((F.col(c) * sign - tail["start"]).alias("y")).where("y > 0")
                     tail["peaks"] = [r.y for r in over.collect()]  # a share of 1 - level of the rows
                 self.tails_[f"{c}:{side}"] = tail
                 edge = self._fit(tail)
                 fence[side] = None if edge is None else sign * edge
             self.fences_[c] = fence
 
+    def _fences_of_keys(self, series: Series, starts: DataFrame) -> DataFrame:
+        """Fences per key: only the rows beyond a key's starts are gathered, each key's in a task."""
+        keys, fit, out = list(series.keys), self._fit, starts
+
+        def edge_of(sign: int, target: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+            def edge(pdf: pd.DataFrame) -> pd.DataFrame:
+                found = fit({"start": float(pdf["start"].iloc[0]), "count": int(pdf["n"].iloc[0]), "peaks": pdf["y"].tolist(), "target": target})
+                return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "edge": [None if found is None else sign * found]})
+
+            return edge
+
+        for c in series.values:
+            for side, sign, target in (("low", -1, self.low), ("high", 1, self.high)):
+                if target is None:
+                    out = out.withColumn(f"{c}__{side}_fence", F.lit(sign * INFINITY))
+                    continue
+                over = series.df.select(*keys, F.col(c).alias("x")).join(starts.select(*keys, F.col(f"{c}__{side}").alias("start"), F.col(f"{c}__n").alias("n")), keys)
+                over = over.select(*keys, (sign * F.col("x") - sign * F.col("start")).alias("y"), (sign * F.col("start")).alias("start"), "n").where("y > 0")
+
+                kinds = "".join(f"`{k}` {series.df.schema[k].dataType.simpleString()}, " for k in keys)
+                edges = over.groupBy(*keys).applyInPandas(edge_of(sign, target), kinds + "edge double").withColumnRenamed("edge", f"{c}__{side}_fence")
+                out = out.join(edges, keys, "left")
+        fences = [F.col(f"{c}__{side}_fence").alias(f"{c}__{side}") for c in series.values for side in ("low", "high")]
+        return out.select(*keys, *fences).persist()
+
     @staticmethod
     def _fit(tail: dict) -> float | None:
         n = len(tail["peaks"])

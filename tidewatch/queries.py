@@ -6,11 +6,12 @@ events' values, and daily sums of ``orders``.  Doubles are rounded to six places
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -404,6 +405,20 @@ three AS (SELECT p.event_type, p.e, min(best + c) AS best, arg_min(s, best + c)
 four AS (SELECT p.event_type, arg_min(s, best + c) AS at FROM p JOIN three ON three.event_type = p.event_type AND three.e = p.s WHERE p.e = n GROUP BY p.event_type),
 h AS (SELECT event_type, four.at AS x, three.at AS y, two.at AS z FROM four JOIN three USING (event_type) JOIN two USING (event_type) WHERE three.e = four.at AND two.e = three.at)
 SELECT event_type, t_ns, (i IN (x, y, z))::INT::DOUBLE AS v FROM i JOIN h USING (event_type)"""
+# The transform by its definition: every frequency against every row.
+SPECTRUM = H + """, i AS (SELECT t_ns, n AS x, row_number() OVER (ORDER BY t_ns) - 1 AS i, count(*) OVER () AS n FROM h),
+g AS (SELECT avg((b.x - a.x) / (b.i - a.i)) AS slope FROM i a JOIN i b ON b.i = b.n - 1 AND a.i < b.i AND a.i >= b.i - 21),
+y AS (SELECT i, x FROM i UNION ALL SELECT n + k, x + 21 * slope FROM i, g, range(5) r(k) WHERE i = n - 21),
+c AS (SELECT count(*) AS m FROM y),
+f AS (SELECT k, sum(x * cos(2 * pi() * ((i * k) % m) / m)) AS re, -sum(x * sin(2 * pi() * ((i * k) % m) / m)) AS im FROM y, c, range((SELECT m FROM c)) r(k) GROUP BY k),
+a AS (SELECT *, sqrt(re * re + im * im) AS a FROM f),
+l AS (SELECT *, ln(greatest(a, 1e-12)) AS l FROM a),
+r AS (SELECT k, CASE WHEN a > 1e-12 THEN re / a ELSE 0 END AS re, CASE WHEN a > 1e-12 THEN im / a ELSE 0 END AS im, exp(l - avg(l) OVER (ORDER BY k ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) AS r FROM l),
+b AS (SELECT i, sqrt(sum(r * (re * cos(2 * pi() * ((i * k) % m) / m) - im * sin(2 * pi() * ((i * k) % m) / m))) ** 2 + sum(r * (re * sin(2 * pi() * ((i * k) % m) / m) + im * cos(2 * pi() * ((i * k) % m) / m))) ** 2) / max(m) AS s
+  FROM r, c, i GROUP BY i),
+s AS (SELECT i, CASE WHEN avg(s) OVER w > 0 THEN (s - avg(s) OVER w) / avg(s) OVER w ELSE 0 END AS s FROM b WINDOW w AS (ORDER BY i ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)),
+q AS (SELECT quantile_cont(s, 0.25) AS a, quantile_cont(s, 0.75) AS b FROM s)
+SELECT t_ns, (s > b + 3 * (b - a))::INT::DOUBLE AS n FROM i JOIN s USING (i), q"""
 KERNELS = {
     "pelt": PELT,
     "ruptures_dynp": THREE,
@@ -428,7 +443,7 @@ for name, made in {
     "mstl": lambda: tw.MstlDetector([24, 168]),
     "pot": lambda: tw.ScoreDetector(None, tw.PotThreshold(high=1e-3, level=0.9)),
 }.items():
-    query(f"{name}_detector")(lambda spark, sf, made=made: made().fit_detect(hourly(spark, sf).select("n")))
+    query(f"{name}_detector", SPECTRUM if name == "spectral_residual" else None)(lambda spark, sf, made=made: made().fit_detect(hourly(spark, sf).select("n")))
 query("min_cluster_detector")(lambda spark, sf: tw.MinClusterDetector(KMeans(k=3, seed=1)).fit_detect(hourly(spark, sf)))
 
 
@@ -449,14 +464,106 @@ query("outlier_detector", H + ", w AS (SELECT * FROM h WHERE v IS NOT NULL), m A
 )
 
 
-@query("stream_of_spikes", SPIKES + "SELECT t_ns, n FROM l ORDER BY t_ns DESC LIMIT 24")
+@query("stream_of_spikes", SPIKES + "SELECT t_ns, n FROM l")
 def stream_of_spikes(spark, sf):
-    """Every hour goes through the stream, the first day as a batch of its own; the newest answers, as SQL has them."""
+    """Every hour goes through the stream, the first day as a batch of its own."""
     s = hourly(spark, sf).select("n")
     cut = s.df.orderBy("t_ns").limit(24).agg(F.max("t_ns")).first()[0]
     stream = tw.Stream(tw.SpikeDetector(24, factor=3.0).fit(s), 48)
     first, later = (stream.update_many(Series(s.df.where(c), s.values)).df for c in (F.col("t_ns") <= cut, F.col("t_ns") > cut))
-    return first.unionByName(later).orderBy(F.desc("t_ns")).limit(24)
+    return first.unionByName(later)
+
+
+@query("stream_primed", SPIKES + "SELECT t_ns, n FROM l ORDER BY t_ns OFFSET 48")
+def stream_primed(spark, sf):
+    """The first two days are history, all later hours come through the stream."""
+    s = hourly(spark, sf).select("n")
+    cut = s.df.orderBy("t_ns").limit(48).agg(F.max("t_ns")).first()[0]
+    stream = tw.Stream(tw.SpikeDetector(24, factor=3.0).fit(s), 48).prime(Series(s.df.where(F.col("t_ns") <= cut), s.values), check=False)
+    return stream.update_many(Series(s.df.where(F.col("t_ns") > cut), s.values))
+
+
+# Parameters and state, arrays, validation
+
+
+@query("component_round_trip", SPIKES + "SELECT t_ns, n FROM l")
+def component_round_trip(spark, sf):
+    """A fitted detector written as JSON and read again."""
+    s = hourly(spark, sf).select("n")
+    return tw.SpikeDetector.from_dict(json.loads(tw.SpikeDetector(24, factor=3.0).fit(s).to_json())).detect(s)
+
+
+@query("component_clone", SPIKES + "SELECT t_ns, n FROM l")
+def component_clone(spark, sf):
+    """A clone has the parameters, not what was learned."""
+    detector = tw.SpikeDetector(24, factor=9.0).fit(hourly(spark, sf).select("n"))
+    return detector.clone().set_params(factor=3.0).fit_detect(hourly(spark, sf).select("n"))
+
+
+@query("series_from_arrays", D + f" SELECT t_ns, {r6('total')} AS total, n FROM d")
+def series_from_arrays(spark, sf):
+    s = daily(spark, sf)
+    t = [r.t_ns for r in s.df.select("t_ns").orderBy("t_ns").collect()]
+    return tw.Series.from_arrays(spark, np.array(t[::-1], np.int64), s.to_numpy()[::-1], ["total", "n"])
+
+
+@query("series_validated", S + f" SELECT event_type, t_ns, {r6('x')} AS x FROM s")
+def series_validated(spark, sf):
+    df = table(spark, sf, "events").withColumn("x", F.when(F.col("event_id") % 17 != 0, F.col("value") * SCALE).otherwise(float("nan")))
+    first = Window.partitionBy("event_type", "ts").orderBy("event_id")
+    return tw.validate_series(df.withColumn("k", F.row_number().over(first)).where("k = 1"), time="ts", keys=["event_type"], values=["x"])
+
+
+@query("rolling_aggregate_scorer", K + f" SELECT event_type, t_ns, {r6('CASE WHEN count(v) OVER w >= 12 THEN avg(v) OVER w END')} AS v FROM k WINDOW w AS (PARTITION BY event_type ORDER BY t_ns ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)")
+def rolling_aggregate_scorer(spark, sf):
+    return tw.RollingAggregateScorer(12, "mean", min_periods=12).run(by_type(spark, sf))
+
+
+class Halves:
+    """A clustering model: above and below the means of both columns together."""
+
+    def fit(self, x: np.ndarray) -> Halves:
+        self.middle = np.quantile(x[:, 0], 0.75)
+        return self
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return (x[:, 0] > self.middle).astype(int)
+
+
+query("min_cluster_of_model", H + ", q AS (SELECT quantile_cont(n, 0.75::DOUBLE) AS q FROM h WHERE v IS NOT NULL) SELECT t_ns, CASE WHEN v IS NOT NULL THEN (n > q)::INT::DOUBLE END AS min_cluster FROM h, q")(
+    lambda spark, sf: renamed(tw.MinClusterDetector(Halves()).fit_detect(hourly(spark, sf)), "min_cluster")
+)
+
+
+def renamed(series: Series, name: str) -> DataFrame:
+    return series.df.select("t_ns", F.col(series.values[0]).alias(name))
+
+
+def tripled(series: Series, factor: float) -> Series:
+    return series.with_values({c: F.col(c) * factor for c in series.values})
+
+
+query("customized_transformer_fit", H + f" SELECT t_ns, {r6('v * (SELECT max(n) FROM h)')} AS v FROM h")(
+    lambda spark, sf: tw.CustomizedTransformer(tripled, fit_func=lambda s, high: {"factor": high}, fit_func_params={"high": hourly(spark, sf).df.agg(F.max("n")).first()[0]})
+    .fit(hourly(spark, sf).select("v")).run(hourly(spark, sf).select("v"))
+)
+
+
+@query("events_from_bounds", H + ", l AS (SELECT t_ns, (n > 15.0)::INT::DOUBLE AS n FROM h)" + ISLANDS.replace("t_ns + coalesce((SELECT step FROM g), 1) - 1 AS e", "t_ns + 7200000000000 AS e") + "SELECT start_ns, end_ns FROM ev")
+def events_from_bounds(spark, sf):
+    """Bounds held on the driver, overlapping, out of order."""
+    t = [r.t_ns for r in hourly(spark, sf).df.where(F.col("n") > 15.0).orderBy(F.desc("t_ns")).select("t_ns").collect()]
+    return tw.Events.from_any([(x, x + 7_200_000_000_000) for x in t]).to_frame()
+
+
+@query("calibration_threshold", TUNED + ", x AS (SELECT arg_max(cut, (v, cut)) AS cut FROM (SELECT cut, CASE WHEN p > 0 AND b > 0 THEN 2.0 * b / (t + p) END AS v FROM w) WHERE v IS NOT NULL) SELECT t_ns, (n > cut)::INT::DOUBLE AS n FROM h, x")
+def calibration_threshold(spark, sf):
+    """Labels by the threshold of the best cut."""
+    s = hourly(spark, sf).select("n")
+    return tw.tune_threshold(cut_labels(spark, sf, "v", V_CUT), s, events=False, candidates=5000).threshold.run(s)
+
+
+query("pot_of_keys")(lambda spark, sf: tw.PotThreshold(high=1e-3, level=0.9).fit(by_type(spark, sf)).run(by_type(spark, sf)))
 
 
 @query("make_series")

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -63,3 +65,27 @@ def test_few_candidates_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [-3.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in nearest.searched(df).collect()] == [(0, 1, 1, 0.0), (0, 2, 2, -1.0)]
     assert nearest.searched(df.limit(0)).count() == 0
+
+
+def test_vectors_of_any_size_and_empty_ones(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((60, 8)) * 10.0 ** rng.integers(-200, 200, (60, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, []), (150, None)]
+    out = nearest.searched(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    u = x / np.abs(x).max(axis=1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for r in out:
+        assert abs(r.score - u[r.query_id] @ u[r.vec_id]) < 1e-12
+    assert sorted((r.query_id, r["rank"]) for r in out) == [(q, k) for q in (0, 50) for k in range(1, 6)]
+
+
+FOLDER = "/root/testdata/sf0.1/embeddings.parquet"
+
+
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
+def test_recall_on_the_whole_table(spark):
+    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(FOLDER).select("vec_id", "embedding").collect() if r.embedding]
+    want, got = brute(rows, 50, 5), {}
+    for r in nearest.searched(spark.read.parquet(FOLDER)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[q] & {j for j, _ in want[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))

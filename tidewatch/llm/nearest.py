@@ -48,7 +48,13 @@ class Codes:
         return np.pad(bits, ((0, 0), (0, wide - bits.shape[1]))).view(np.uint16)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by powers of two so that their largest component is near 1: no cosine changes, none overflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0, keepdims=True))[1]) if x.size else x
+
+
 def unit_rows(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -216,7 +222,7 @@ def searched(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
         def done() -> Iterator[pa.RecordBatch]:
             if parts:
                 kinds, numbers, v = (np.concatenate([p[j] for p in parts]) for j in range(3))
-                yield from answer(kinds, numbers, v, [x for p in parts for x in p[3]])
+                yield from answer(kinds, numbers, scaled(v), [x for p in parts for x in p[3]])
 
         for batch in batches:
             a, b, kinds, numbers = (batch.column(j).to_numpy(zero_copy_only=False) for j in range(4))

@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one is set only where the session names none (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one is set only in local mode, where the session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -40,12 +42,14 @@ def release(spark: SparkSession) -> None:
 def staged(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: computed once, safe against lost executors.
 
-    After a ``large`` step its shuffle files are let go of.
+    After a ``large`` step its shuffle files are let go of.  What is not dropped before goes when the application ends.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
     _WRITTEN.append(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     if large:

@@ -39,10 +39,14 @@ class Unigram:
     @classmethod
     @lru_cache(maxsize=2)  # Python workers live on from task to task
     def from_file(cls, path: str) -> Unigram:
-        """Vocabulary of a SentencePiece file.  Its pieces come in order of rank; the log-probability is Zipf's, minus the
-        logarithm of the rank, normalised over the vocabulary."""
+        """Vocabulary of a SentencePiece file with its scores as log-probabilities.  Where the scores are whole numbers they are
+        no probabilities but the ranks of merges; the log-probability then is Zipf's, minus the logarithm of the rank,
+        normalised over the vocabulary."""
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+        scores = [model.get_score(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+        if any(x != int(x) for x in scores):
+            return cls(dict(zip(names, scores, strict=True)))
         total = math.log(sum(1 / (k + 1) for k in range(len(names))))
         return cls({p: -math.log(k + 1) - total for k, p in enumerate(names)})
 

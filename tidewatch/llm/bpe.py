@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.arrow import map_rows
 
-#: Pre-tokens whose ids a task keeps; the table starts afresh when it is full.
-KEPT = 1_000_000
+#: Bytes of the pre-tokens and ids that a worker keeps; the table starts afresh when it is full.
+KEPT = 150_000_000
 #: Vocabulary entries that share a displacement, on average.
 PER_BUCKET = 2
 
@@ -79,12 +79,15 @@ class Kept(dict):
     """Pre-tokens and their ids, as decimals joined by commas; fills itself, and starts afresh when full."""
 
     def __init__(self, codec: Codec):
-        self.codec = codec
+        self.codec, self.room = codec, KEPT
 
     def __missing__(self, pre_token: str) -> str:
-        if len(self) >= KEPT:
+        found = ",".join(map(str, self.codec.ids(pre_token.encode("utf-8", "surrogatepass"))))
+        self.room -= len(pre_token) + len(found) + 150
+        if self.room < 0:
             self.clear()
-        self[pre_token] = found = ",".join(map(str, self.codec.ids(pre_token.encode("utf-8", "surrogatepass"))))
+            self.room = KEPT
+        self[pre_token] = found
         return found
 
 

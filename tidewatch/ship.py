@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -22,9 +24,9 @@ def ship(spark: SparkSession) -> None:
     _DONE.add(context.applicationId)
     if context.master.startswith("local") and str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
-    with tempfile.TemporaryDirectory() as folder:  # on the driver; Spark copies it and serves it to the executors
-        path = Path(folder) / f"{ROOT.name}-package.zip"
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-            for source in sorted((ROOT / "tidewatch").rglob("*.py")):
-                out.write(source, source.relative_to(ROOT))
-        context.addPyFile(str(path))
+    folder = Path(tempfile.mkdtemp(prefix="tidewatch-"))  # on the driver, which serves the file as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(folder / "tidewatch.zip", "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted((ROOT / "tidewatch").rglob("*.py")):
+            out.write(source, source.relative_to(ROOT))
+    context.addPyFile(str(folder / "tidewatch.zip"))

@@ -59,6 +59,17 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()) == got["byte-level BPE"]
 
 
+def test_an_empty_table_with_extra_columns(spark, tmp_path):
+    make(spark, str(tmp_path), 40)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumnsRenamed({"lang": "rid", "n_chars": "sha"}).limit(0)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{k}")
+        assert spark.read.parquet(f"{tmp_path}/{k}").count() == 0
+        if k < 4:
+            assert out.columns == docs.columns
+
+
 def test_entry_lists_the_queries():
     entry = importlib.import_module("__spark_entry__")
     names = list(entry.queries())

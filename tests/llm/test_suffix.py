@@ -71,3 +71,11 @@ def test_repeated_ids_nulls_and_empty(spark):
     out = sorted((r.doc_id or -1, r.n_bytes, r.n_removed) for r in suffix.deduplicated(docs).collect())
     assert out == [(-1, 0, 0), (-1, 121, 0), (1, 120, 120), (1, 120, 120), (1, 124, 120)]
     assert suffix.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_long_texts(spark):
+    rng = random.Random(12)
+    long = " ".join(f"v{rng.randrange(10**6)}" for _ in range(30_000))
+    rows = [(1, long[:150_000]), (2, long[100_000:]), (3, "z" * 120_000)]
+    out = suffix.deduplicated(spark.createDataFrame([(i, t, b"") for i, t in rows], "doc_id long, text string, lo binary"), keep_bytes=False).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in out} == {1: (150_000, 0, 0), 2: (len(long) - 100_000, 50_000, 1), 3: (120_000, 119_999, 1)}

@@ -10,6 +10,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewatch.ship import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one is set only in local mode, where the session names none (tests)."""
@@ -73,6 +75,7 @@ def tidy(stage: Callable) -> Callable:
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
         while _LEFT:
             path = _LEFT.pop()
             delete(spark, path)

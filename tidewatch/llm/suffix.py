@@ -30,6 +30,8 @@ LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
 #: Segments of a collection, at most, and those of one anchor in it.
 COLLECTION, CHUNK = 16_000, 8_192
+#: Segments that a task gathers before it deals them out to collections by length.
+GATHERED = 4 * COLLECTION
 #: Bits of a block's size in which the transform's symbols are counted.
 BITS = 8
 #: Bytes beside an anchor, on one side or the other, that two segments with a common window must share.
@@ -224,26 +226,35 @@ def told_apart(rows: DataFrame) -> DataFrame:
 
     def solve(groups: list[list[tuple]]) -> pa.RecordBatch:
         out: list[tuple] = []
-        kept: list[tuple] = []
+        ready: list[list[tuple]] = []
         for group in groups:
-            if group[0][2] == 1:  # whole anchors: a segment that shares neither side with another has no common window
-                sides = [(r[7][r[6] - BESIDE : r[6]] if r[6] >= BESIDE else None, x if len(x := r[7][r[6] + GRAM : r[6] + GRAM + BESIDE]) == BESIDE else None) for r in group]
-                seen: dict[tuple, int] = {}
-                for pair in sides:
-                    for k, x in enumerate(pair):
-                        if x is not None:
-                            seen[k, x] = seen.get((k, x), 0) + 1
-                for r, pair in zip(group, sides, strict=True):
-                    left, right = (x is not None and seen[k, x] > 1 for k, x in enumerate(pair))
-                    # a side that is not shared ends less than BESIDE bytes from the anchor in any common window
-                    low = 0 if left else max(0, r[6] - BESIDE + 1)
-                    high = len(r[7]) if right else r[6] + GRAM + BESIDE - 1
-                    if (left or right) and len(seg := r[7][low:high]) >= LENGTH:
-                        kept.append((*r[:5], r[5] + low, r[6] - low, seg))
-            else:
-                kept += group
-        if kept:
-            for r, flags in zip(kept, repeats([r[7] for r in kept], [(r[3], r[4], r[5]) for r in kept]), strict=True):
+            if group[0][2] > 1:
+                ready.append(group)
+                continue
+            # whole anchors: a segment that shares neither side with another has no common window
+            sides = [(r[7][r[6] - BESIDE : r[6]] if r[6] >= BESIDE else None, x if len(x := r[7][r[6] + GRAM : r[6] + GRAM + BESIDE]) == BESIDE else None) for r in group]
+            seen: dict[tuple, int] = {}
+            kept: list[tuple] = []
+            for pair in sides:
+                for k, x in enumerate(pair):
+                    if x is not None:
+                        seen[k, x] = seen.get((k, x), 0) + 1
+            for r, pair in zip(group, sides, strict=True):
+                left, right = (x is not None and seen[k, x] > 1 for k, x in enumerate(pair))
+                # a side that is not shared ends less than BESIDE bytes from the anchor in any common window
+                low = 0 if left else max(0, r[6] - BESIDE + 1)
+                high = len(r[7]) if right else r[6] + GRAM + BESIDE - 1
+                if (left or right) and len(seg := r[7][low:high]) >= LENGTH:
+                    kept.append((*r[:5], r[5] + low, r[6] - low, seg))
+            if len(kept) > 1:
+                ready.append(kept)
+        # a round costs what the transform holds, so groups of like length go together
+        ready.sort(key=lambda g: max(len(r[7]) for r in g))
+        while ready:
+            part: list[tuple] = []
+            while ready and len(part) < COLLECTION:
+                part += ready.pop()
+            for r, flags in zip(part, repeats([r[7] for r in part], [(r[3], r[4], r[5]) for r in part]), strict=True):
                 out += [(r[3], r[4], r[5] + a, n, None) for a, n in spans(flags)]
                 if r[2] > 1:
                     out += [(r[3], r[4], r[5] + o, 1, hashlib.blake2b(r[7][o : o + LENGTH], digest_size=16).digest()) for o in np.flatnonzero(~flags).tolist()]
@@ -259,7 +270,7 @@ def told_apart(rows: DataFrame) -> DataFrame:
                 if groups and groups[-1][0][:2] == row[:2]:
                     groups[-1].append(row)
                 else:
-                    if size >= COLLECTION:
+                    if size >= GATHERED:
                         yield solve(groups)
                         groups, size = [], 0
                     groups.append([row])

@@ -150,3 +150,26 @@ def test_large_groups_of_near_copies(spark):
     rows = [(3 * i + 1, t) for i, t in enumerate(texts)]
     out = ngram.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == [(3 * i + 1, 298, 1) for i in range(len(texts))]
+
+
+def test_common_passages_bring_no_pairs_together(spark, monkeypatch):
+    """Long texts with a common passage, which parity bits cannot tell apart; near copies among them are all found, in passes."""
+    monkeypatch.setattr(ngram, "PASSES", 2)
+    monkeypatch.setattr(ngram, "LEAST", 1500)
+    monkeypatch.setattr(ngram, "SHARE", 1 << 40)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for k in range(30):
+        own = [f"k{k}x{i}" for i in range(2500)]
+        texts.append(" ".join(own[:1000] + passage + own[1000:]))
+        if k < 6:
+            for at in rng.sample(range(1000), 25):
+                own[at] = f"e{k}x{at}"
+            texts.append(" ".join(own[:1000] + passage + own[1000:]))
+    _, nodes, _ = ngram.sets_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", 5, 80)
+    doc = {r.node: r.doc_id for r in nodes.select("node", "doc_id").collect()}
+    shared = ngram.shared_parts(nodes)
+    _, bounds = ngram.slimmed(nodes)
+    found = {tuple(sorted((doc[r.a], doc[r.b]))) for r in ngram.candidates(shared, bounds, 80, every=True).collect()}
+    assert found >= {(2 * k, 2 * k + 1) for k in range(6)} and len(found) <= 12

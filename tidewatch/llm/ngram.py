@@ -1,11 +1,13 @@
 """N-gram Jaccard join by parity sketches.
 
 A document is the set of its word n-grams.  For a band of set sizes, the n-grams are dealt by hash over P parts, and each
-is XORed into its part as a hash of 64 bits: a sketch of P words, every bit of which is a parity.  An n-gram that only one
+is XORed into its part as a hash of 32 bits: a sketch of P words, every bit of which is a parity.  An n-gram that only one
 of two documents has changes one part, so the number of parts in which two sketches differ is at most the sets' symmetric
 difference.  Linked documents of sizes a and b differ in at most (1 - t) / (1 + t) * (a + b) n-grams; a band has some parts
 more than that for its largest sizes.  So linked documents agree in a part (pigeonhole), and the join on equal parts finds
-every pair.  A second sketch has one parity bit flipped by each n-gram: the Hamming distance of two of these bounds the
+every pair.  They agree in ``need`` parts at least, so each document may leave out its ``need`` - 1 commonest parts: of the
+parts that two linked documents share, the rarest is then left in both.  Parts of common lines drop out by that, and
+documents that share fewer parts than ``need`` with all others.  A second sketch has one parity bit flipped by each n-gram: the Hamming distance of two of these bounds the
 symmetric difference from below and rejects pairs; at last the texts decide.
 
 Equal sets are one node from the start.  For components, the nodes that share a part are first compared with one of them,
@@ -38,6 +40,10 @@ BLOCK = 2048
 STARS = 2
 #: Parts that a band has beyond need, in hundredths, so that parts of no bits need not be joined on.
 SPARE = 15
+#: Passes over the sketches, each with its share of the parts, so that shuffles of all parts never lie on disk at once.
+PASSES = 4
+#: Rows with parity bits that one pass of the join pair by pair moves: one for so many n-grams of the corpus, and so many at least.
+SHARE, LEAST = 64, 1 << 20
 #: Words of the sketch of parity bits that bounds are taken from.
 FOLD = 16
 #: Bytes of the words whose hashes a task keeps.
@@ -108,14 +114,14 @@ def shingles(words: list[bytes], kept: Hashes, size: int) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """XOR of the hashes in each of ``parts`` parts."""
+    """XOR of 32 bits of the hashes in each of ``parts`` parts."""
     part = (hashes >> np.uint64(10)) % np.uint64(parts)
     order = np.argsort(part, kind="stable")
     part = part[order]
     first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    out = np.zeros(parts, np.uint64)
-    out[part[first]] = np.bitwise_xor.reduceat(hashes[order], first)
-    return out.view(np.int64)
+    out = np.zeros(parts, np.uint32)
+    out[part[first]] = np.bitwise_xor.reduceat((hashes >> np.uint64(32)).astype(np.uint32)[order], first)
+    return out.view(np.int32)
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
@@ -138,14 +144,15 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, size: int, similar: in
                 out["print"].append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 found = [(k, sketch(h, p), d) for k, p, d in entries(len(h), similar)] if len(h) else []
                 out["fold"].append(parities(h) if found else None)
-                # an empty part tells nothing; with more other parts than can differ, a partner agrees in one of those
-                out["sketches"].append([{"band": k, "parts": x, "zeros": bool((x != 0).sum() <= d)} for k, x, d in found])
+                # an empty part tells nothing; with more other parts than can differ, a partner agrees in the surplus of those
+                surplus = [int((x != 0).sum()) - d for _, x, d in found]
+                out["sketches"].append([{"band": k, "parts": x, "zeros": m <= 0, "need": max(1, m)} for (k, x, _), m in zip(found, surplus, strict=True)])
             return out
 
         return run
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_rows(rows, make, "n long, print binary, fold array<long>, sketches array<struct<band: int, parts: array<long>, zeros: boolean>>", ["text"], ["doc_id"])
+    return map_rows(rows, make, "n long, print binary, fold array<long>, sketches array<struct<band: int, parts: array<int>, zeros: boolean, need: int>>", ["text"], ["doc_id"])
 
 
 def slimmed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -156,17 +163,35 @@ def slimmed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return slim, bounds
 
 
-def shared_parts(nodes: DataFrame) -> DataFrame:
-    """Staged ``node, n, key, members, known, root``: the parts of sketches that several nodes have, how many have each,
-    and the sum of that over the node's parts; every node is its own root."""
-    keyed = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode("sketches").alias("s"))
-    keyed = keyed.select("node", "n", "s.band", "s.zeros", F.posexplode("s.parts").alias("pos", "part"))
-    keyed = keyed.where("zeros OR part != 0").select("node", "n", F.xxhash64("band", "pos", "part").alias("key"))
+def several_have(keyed: DataFrame) -> DataFrame:
+    """Staged rows of ``keyed`` whose ``key`` comes more than once, with ``members``: how often."""
     several = staged(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "several", large=True)
-    shared = staged(keyed.join(several, "key"), "shared", large=True)
+    out = staged(keyed.join(several, "key"), "shared", large=True)
+    drop(several)
+    return out
+
+
+def shared_parts(nodes: DataFrame) -> DataFrame:
+    """Staged ``node, n, key, members, known, root``: the parts of sketches that several nodes have, without the ``need`` - 1
+    commonest of each sketch; how many have each, and the sum of that over the node's parts; every node is its own root."""
+    # a sketch's number: a node takes part in two joins at most
+    keyed = nodes.select("node", F.posexplode("sketches").alias("which", "s")).select((F.col("node") * 2 + F.col("which")).alias("entry"), "s.*")
+    keyed = keyed.select("entry", "band", "zeros", F.posexplode("parts").alias("pos", "part"))
+    keyed = keyed.where("zeros OR part != 0").select("entry", F.xxhash64("band", "pos", "part").alias("key"))
+    found = [several_have(keyed.where(F.pmod("key", F.lit(PASSES)) == turn)) for turn in range(PASSES)]
+    needs = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("sketches.need").alias("which", "need"))
+    needs = needs.select((F.col("node") * 2 + F.col("which")).alias("entry"), "node", "n", "need")
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionAll(more)
+    ranked = every.join(needs, "entry").withColumn("rank", F.row_number().over(Window.partitionBy("entry").orderBy(F.desc("members"), "key")))
+    rare = staged(ranked.where("rank >= need").select("node", "n", "key"), "rare", large=True)
+    for x in found:
+        drop(x)
+    shared = several_have(rare)
+    drop(rare)
     known = shared.groupBy("node").agg(F.sum("members").alias("known"))
     out = staged(shared.join(known, "node").withColumn("root", F.col("node")), "known", large=True)
-    drop(several)
     drop(shared)
     return out
 
@@ -193,22 +218,32 @@ def candidates(shared: DataFrame, bounds: DataFrame, similar: int, every: bool =
     and that no bound tells apart; with ``every``, of different nodes.
 
     Under each part, the nodes of its largest root meet only the others.  A part's nodes are dealt over blocks, and those
-    outside the largest root go to every block, so that no task gets a large part alone.
+    outside the largest root go to every block, so that no task gets a large part alone.  Blocks are joined in passes, as
+    many as it takes to bound what a pass moves.
     """
-    rows = shared.select("key", "node", "n", "members", "root").join(bounds.select("node", "fold"), "node")
+    rows = shared.select("key", "node", "members", "root")
     if every:
         rows = rows.withColumn("largest", F.lit(None).cast("long"))
     else:
         roots = shared.groupBy("key", "root").agg(F.count("*").alias("times")).groupBy("key").agg(F.max_by("root", F.struct("times", "root")).alias("largest"))
         rows = rows.join(roots, "key")
-    rows = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    inside = F.col("root").eqNullSafe(F.col("largest"))
-    one = side(rows.where(~inside).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "a", "key", "block", F.col("root").alias("root_a"))
-    two = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("inside", inside)
-    two = side(two, "b", "key", "block", F.col("root").alias("root_b"), "inside")
+    rows = rows.select("key", "node", "root", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.col("root").eqNullSafe(F.col("largest")).alias("inside"))
+    rows = staged(rows, "rows", large=True)
+    moved = rows.agg(F.sum(F.when(F.col("inside"), 1).otherwise(F.col("blocks") + 1))).first()[0] or 0
+    passes = max(1, -(-moved // max(LEAST, (bounds.agg(F.sum("n")).first()[0] or 0) // SHARE)))
+    every_block = rows.where(~F.col("inside")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own_block = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     told = (F.col("a") != F.col("b")) if every else (F.col("root_a") != F.col("root_b"))
-    met = one.join(two, (one["key"] == two["key"]) & (one["block"] == two["block"]) & told & (F.col("inside") | (F.col("a") < F.col("b"))) & allowed(similar))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = None
+    for turn in range(passes):
+        now = F.pmod(F.xxhash64("key", "block"), F.lit(passes)) == turn
+        one = side(every_block.where(now).join(bounds, "node"), "a", "key", "block", F.col("root").alias("root_a"))
+        two = side(own_block.where(now).join(bounds, "node"), "b", "key", "block", F.col("root").alias("root_b"), "inside")
+        met = one.join(two, (one["key"] == two["key"]) & (one["block"] == two["block"]) & told & (F.col("inside") | (F.col("a") < F.col("b"))) & allowed(similar))
+        met = staged(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met", large=True)
+        found = met if found is None else found.unionAll(met)
+    drop(rows)
+    return found.distinct()
 
 
 def star(shared: DataFrame, bounds: DataFrame, similar: int, first: bool) -> DataFrame:

@@ -37,3 +37,32 @@ def test_calibration_without_anomalous_hours(spark, tmp_path):
     found, want = answers(spark, tmp_path, "calibration_threshold", hours_of([3, 5, 4, 6, 3, 2], 10.0))  # no mean above 50
     assert found == want and sum(found.values()) == 6
     assert all(row[1] == "None" for row in found)
+
+
+@pytest.mark.parametrize(
+    ("counts", "value", "row"),
+    [
+        ([16, 18, 3, 17], 10.0, ("0.0", "nan", "0.0", "0.0")),  # no hour's mean is above 50
+        ([3, 4, 3, 5], 100.0, ("nan", "0.0", "0.0", "0.0")),  # no hour's count above 15
+        ([3, 4, 3, 5], 10.0, ("nan", "nan", "nan", "nan")),
+        ([], 10.0, ("None", "None", "None", "None")),
+    ],
+)
+def test_metrics_of_labels_that_flag_nothing(spark, tmp_path, counts, value, row):
+    found, want = answers(spark, tmp_path, "metrics_of_labels", hours_of(counts, value))
+    assert found == want == Counter([row])
+
+
+def test_f1_scores_without_anything_in_common(spark):
+    import tidewatch as tw
+
+    def labels(*values):
+        return tw.Series.from_arrays(spark, list(range(len(values))), [float(v) for v in values])
+
+    none, first, last = labels(0, 0, 0), labels(1, 0, 0), labels(0, 0, 1)
+    for t, p in ((none, first), (first, none), (first, last)):
+        assert tw.f1_score(t, p) is None and tw.f1_score(t, p, disjoint=0.0) == 0.0
+    assert tw.f1_score(none, none, disjoint=0.0) is None and tw.f1_score(first, first) == 1.0
+    events = [tw.Events.from_bounds(spark, [(0, 9)]), tw.Events.from_bounds(spark, [(0, 1)]), tw.Events.from_bounds(spark, [(20, 29)])]
+    assert tw.f1_score(events[0], events[1]) == 0.0  # recall 0, precision 1
+    assert tw.f1_score(events[0], events[2]) is None and tw.f1_score(events[0], events[2], disjoint=0.0) == 0.0

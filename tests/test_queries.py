@@ -66,3 +66,16 @@ def test_f1_scores_without_anything_in_common(spark):
     events = [tw.Events.from_bounds(spark, [(0, 9)]), tw.Events.from_bounds(spark, [(0, 1)]), tw.Events.from_bounds(spark, [(20, 29)])]
     assert tw.f1_score(events[0], events[1]) == 0.0  # recall 0, precision 1
     assert tw.f1_score(events[0], events[2]) is None and tw.f1_score(events[0], events[2], disjoint=0.0) == 0.0
+
+
+def copies(n, times):
+    """Events of two types at every ninth minute, each ``times`` over with other ids and, but for every third, other values."""
+    rows = [(i, 540_000_000 * (i // 2), "ab"[i % 2], float(i * 37 % 101) + 0.25 * (i % 2)) for i in range(n)]
+    return [(k * n + i, us, kind, v + (k * (i * 7 % 5) if i % 3 else 0)) for k in range(times) for i, us, kind, v in rows]
+
+
+@pytest.mark.parametrize("name", ["detector_fixed"])
+def test_events_of_equal_times_stay(spark, tmp_path, name):
+    found, want = answers(spark, tmp_path, name, copies(120, 4))
+    assert sum(found.values()) == 480
+    assert found == want

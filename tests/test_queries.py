@@ -74,7 +74,7 @@ def copies(n, times):
     return [(k * n + i, us, kind, v + (k * (i * 7 % 5) if i % 3 else 0)) for k in range(times) for i, us, kind, v in rows]
 
 
-@pytest.mark.parametrize("name", ["detector_fixed", "detector_iqr"])
+@pytest.mark.parametrize("name", ["detector_fixed", "detector_iqr", "detector_mad"])
 def test_events_of_equal_times_stay(spark, tmp_path, name):
     found, want = answers(spark, tmp_path, name, copies(120, 4))
     assert sum(found.values()) == 480

@@ -74,7 +74,10 @@ def copies(n, times):
     return [(k * n + i, us, kind, v + (k * (i * 7 % 5) if i % 3 else 0)) for k in range(times) for i, us, kind, v in rows]
 
 
-@pytest.mark.parametrize("name", ["detector_fixed", "detector_iqr", "detector_mad", "detector_quantile", "deviation_mean_idr", "deviation_mean_iqr", "deviation_mean_mad", "deviation_mean_std", "deviation_median_idr", "deviation_median_iqr", "deviation_median_mad", "deviation_median_std"])
+@pytest.mark.parametrize(
+    "name",
+    ["detector_fixed", "detector_iqr", "detector_mad", "detector_quantile", *[f"deviation_{c}_{s}" for c in ("mean", "median") for s in ("idr", "iqr", "mad", "std")], "rolling_duration_centred"],
+)
 def test_events_of_equal_times_stay(spark, tmp_path, name):
     found, want = answers(spark, tmp_path, name, copies(120, 4))
     assert sum(found.values()) == 480
